@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeflow.llm import sampling, survivors, tokenizer
+from cladeflow.llm import leaks, sampling, survivors, tokenizer
 from cladeflow.plans.problems import sql_bin, sql_clean, sql_taxon
 from cladeflow.session import table
 
@@ -29,7 +29,15 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.decode_column(p7_ids(spark, sf_dir)).select("doc_id", "decoded")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_sample, p7_ids, p7_decoded)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), mismatches=2)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_sample, p7_ids, p7_decoded, p8_found, p8_proximity)}
 
 
 def _sql_metric(field: str, low: str, high: str) -> str:
