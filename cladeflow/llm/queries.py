@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeflow.llm import leaks, sampling, survivors, tokenizer
+from cladeflow.llm import leaks, pii, sampling, survivors, tokenizer
 from cladeflow.plans.problems import sql_bin, sql_clean, sql_taxon
 from cladeflow.session import table
 
@@ -37,7 +37,15 @@ def p8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), mismatches=2)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_sample, p7_ids, p7_decoded, p8_found, p8_proximity)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.details(table(spark, sf_dir, "documents")).select("doc_id", "pii_type", "start_at")
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_sample, p7_ids, p7_decoded, p8_found, p8_proximity, p9_found, p9_redacted)}
 
 
 def _sql_metric(field: str, low: str, high: str) -> str:
