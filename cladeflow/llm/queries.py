@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeflow.llm import leaks, pii, sampling, survivors, tokenizer
+from cladeflow.llm import clusters, leaks, pii, sampling, survivors, tokenizer
 from cladeflow.plans.problems import sql_bin, sql_clean, sql_taxon
 from cladeflow.session import table
 
@@ -17,6 +17,16 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "bcdm_records"), table(spark, sf_dir, "selection_metrics"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = clusters.grouped(clusters.cluster(table(spark, sf_dir, "embedding_bundle")))
+    return grouped.withColumnRenamed("id", "faiss_id")
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embedding_bundle")
+    return clusters.describe(clusters.cluster(rows), rows)
+
+
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.block_sample(sampling.number(sampling.arrivals(table(spark, sf_dir, "embedding_bundle"))))
 
@@ -45,7 +55,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_sample, p7_ids, p7_decoded, p8_found, p8_proximity, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_clusters, p4_sample, p7_ids, p7_decoded, p8_found, p8_proximity, p9_found, p9_redacted)}
 
 
 def _sql_metric(field: str, low: str, high: str) -> str:
@@ -86,6 +96,12 @@ def _sql_survivors() -> str:
 SQL = {
     "p1_found": f"WITH {_SQL_SCORED} SELECT bin_uri, record_no FROM b",
     "p1_survivors": _sql_survivors(),
+    "p2_found": """WITH u AS (SELECT faiss_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embedding_bundle
+        WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+          AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+      c AS (SELECT a.faiss_id, min(b.faiss_id) AS cluster_id, count(*) AS n FROM u a JOIN u b
+            ON list_cosine_similarity(a.e, b.e) >= 0.86 GROUP BY a.faiss_id)
+      SELECT cluster_id, faiss_id FROM c WHERE n >= 2""",
     "p4_sample": f"""WITH i AS (SELECT upper({sql_clean("ids")}) AS id, min(ROW(bundle_no, faiss_id)) AS f FROM embedding_bundle
         WHERE {sql_clean("ids")} IS NOT NULL GROUP BY 1),
       n AS (SELECT id, row_number() OVER (ORDER BY f, id) - 1 AS seq_no FROM i),
