@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cladeflow.plans import problems
+from cladeflow.plans import problems, records
 
-MODULES = (problems,)
+MODULES = (problems, records)
 
 
 def entry(spark, sf_dir):
