@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.session import Scratch
+
 # IUPAC codes with the bases they stand for, and their complements.
 IUPAC = {
     "A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC",
@@ -126,12 +128,15 @@ def assess_window(rows: DataFrame, cell: str, primers: Primers, mismatches: int
     tiebreak_length. A null sequence gives null. Each step is a column of its
     own, so that no step's expression is evaluated again inside the next.
     """
+    keep = Scratch(rows.sparkSession, "windows").keep if mismatches > 0 else lambda df: df
     s, f, r, w = F.col(cell), F.col("_f"), F.col("_r"), F.col("_w")
-    rows = rows.withColumn("_f", find_primer(s, primers.forward, mismatches=mismatches))
+    rows = keep(rows.withColumn("_f", find_primer(s, primers.forward, mismatches=mismatches)))
     if primers.reverse:
         back = reverse_complement_text(primers.reverse)
-        rows = rows.withColumn("_b", F.when(f.isNotNull(), find_primer(s, back, f["end"], mismatches)))
-        rows = rows.withColumn("_r", F.when(F.col("_b").isNull(), find_primer(s, back, mismatches=mismatches)).otherwise(F.col("_b"))).drop("_b")
+        behind = F.coalesce(f["end"], F.length(s) + 1)
+        rows = keep(rows.withColumn("_b", find_primer(s, back, behind, mismatches)))
+        rows = keep(rows.withColumn("_c", find_primer(s, back, mismatches=mismatches)))
+        rows = rows.withColumn("_r", F.coalesce("_b", "_c")).drop("_b", "_c")
     else:
         rows = rows.withColumn("_r", F.lit(None).cast("struct<start:int,end:int,mismatches:int>"))
     both = f.isNotNull() & r.isNotNull() & (r["start"] > f["end"])
@@ -170,7 +175,7 @@ def site_counts(a: Column, b: Column) -> Column:
     """
     classes = F.transform(
         F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")),
-        lambda s: F.when(~(F.lit("ACGT").contains(s["x"]) & F.lit("ACGT").contains(s["y"]) & (s["x"] != "") & (s["y"] != "")), -1)
+        lambda s: F.when(~F.coalesce(s["x"].isin(*"ACGT") & s["y"].isin(*"ACGT"), F.lit(False)), -1)
         .when(s["x"] == s["y"], 0)
         .when(F.concat(s["x"], s["y"]).isin("AG", "GA", "CT", "TC"), 1)
         .otherwise(2),

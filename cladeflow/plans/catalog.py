@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cladeflow.plans import problems, records
+from cladeflow.plans import problems, records, vectors
 
-MODULES = (problems, records)
+MODULES = (problems, records, vectors)
 
 
 def entry(spark, sf_dir):

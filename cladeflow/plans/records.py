@@ -323,8 +323,8 @@ def _sql_chain() -> str:
             JOIN (SELECT terminal, sum(votes)::BIGINT AS total FROM d GROUP BY 1) USING (terminal)),
       lca AS (SELECT terminal, n_candidates, coalesce(max(CASE WHEN same THEN i END), 0) AS depth FROM
             (SELECT terminal, n_candidates, i, count(DISTINCT chain[1:i]) = 1 AND min(len(chain)) >= i AS same
-             FROM k, range(1, 8) r(i) GROUP BY ALL) GROUP BY ALL),
-      placed AS (SELECT lca.terminal, lca.n_candidates, any_value(chain)[1:max(depth)] AS attachment FROM lca JOIN k USING (terminal) GROUP BY ALL),
+             FROM k, range(1, 8) r(i) GROUP BY terminal, n_candidates, i) GROUP BY terminal, n_candidates),
+      placed AS (SELECT lca.terminal, lca.n_candidates, any_value(k.chain)[1:lca.depth] AS attachment FROM lca JOIN k ON k.terminal = lca.terminal GROUP BY lca.terminal, lca.n_candidates, lca.depth),
       q AS (SELECT *, n_candidates > 1 AS lifted, n_candidates > 1 AND coalesce(split_part(attachment[-1], ':', 1)::INT, -1) <= 4 AS suspect FROM placed)"""
 
 
