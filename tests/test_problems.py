@@ -127,4 +127,4 @@ def test_failing_lines(spark):
     parsed = rejects.parse_lines(rows)
     assert {r.line_no: r.reason for r in rejects.failed_rows(parsed).collect()} == {k: v[1] for k, v in lines.items() if v[1]}
     sound = {r.line_no: r for r in rejects.sound_rows(parsed).collect()}
-    assert sound[2].notes == 'tab\there "quoted" end' and sound[9].bin_uri is None and sound[15].notes == 'a\u0000"b'
+    assert sound[2].notes == 'tab here "quoted" end' and sound[9].bin_uri is None and sound[15].notes == 'a\u0000"b'
