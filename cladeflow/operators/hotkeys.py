@@ -59,7 +59,8 @@ def key_quantiles(
     scratch = Scratch(spark, "key-quantiles")
     long = unpivot_keys(rows, keys, value)
     names = [f"q{round(p * 100):02d}" for p in probs]
-    lowest, highest = long.agg(F.min("value"), F.max("value")).first()
+    whole = value.cast("bigint")
+    lowest, highest = rows.agg(F.min(whole), F.max(whole)).first()
     lowest, highest = (0, 0) if lowest is None else (lowest, highest)
     width = max(1, -(-(highest - lowest + 1) // bins))
 
