@@ -65,7 +65,7 @@ def key_quantiles(
     width = max(1, -(-(highest - lowest + 1) // bins))
 
     # First pass: all rows of all keys, nulls in a bin of their own.
-    lo = F.lit(lowest) + F.floor((F.col("value") - F.lit(lowest)) / F.lit(width)) * F.lit(width)
+    lo = F.col("value") - (F.col("value") - F.lit(lowest)) % F.lit(width)
     hist = long.groupBy("field_name", "key_text", lo.cast("bigint").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
     hist = scratch.keep(hist)
     totals = hist.groupBy("field_name", "key_text").agg(
@@ -98,7 +98,7 @@ def key_quantiles(
                 .join(salted, ["field_name", "key_text", "salt"])
                 .where(inside)
             )
-        lo = F.col("base") + F.floor((F.col("value") - F.col("base")) / F.lit(finer)) * F.lit(finer)
+        lo = F.col("value") - (F.col("value") - F.col("base")) % F.lit(finer)
         counted = hit.groupBy("field_name", "key_text", "base", lo.cast("bigint").alias("lo")).agg(
             F.count(F.lit(1)).alias("n")
         )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions import vectors as V
-from cladeflow.functions.text import taxon_name
+from cladeflow.functions.text import blank_clean, taxon_name
 from cladeflow.operators import hierarchy, nj
 from cladeflow.operators import representations as R
-from cladeflow.plans.problems import _SQL_WALK, sql_taxon
+from cladeflow.plans.problems import _SQL_WALK, sql_clean, sql_taxon
 from cladeflow.session import Scratch, table
 
 DIM = 64
@@ -163,11 +163,59 @@ def rf_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("normalised", F.round(F.try_divide(F.col("rf"), F.col("n_inferred") + F.col("n_reference")), 6))
 
 
+def taxon_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tree and genus: its tips, the tips below their last common ancestor, and the share of the one in the other."""
+    tips = _tips(spark, sf_dir)
+    records = table(spark, sf_dir, "bcdm_records")
+    genus = (
+        records.select(F.upper(blank_clean(F.col("processid"))).alias("label"), taxon_name(F.col("genus")).alias("genus"), "record_no")
+        .where("label IS NOT NULL AND genus IS NOT NULL")
+        .groupBy("label")
+        .agg(F.min_by("genus", "record_no").alias("genus"))
+    )
+    above = tips.select("tree", "node_id", "label", F.posexplode("path").alias("at", "anc"))
+    below = above.groupBy("tree", "anc").agg(F.count(F.lit(1)).alias("n_below"))
+    named = above.join(genus, "label").groupBy("tree", "genus", "anc").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
+    # Ancestors that all tips of the genus have lie on one way; the lowest of them is the common one.
+    total = tips.join(genus, "label").groupBy("tree", "genus").agg(F.count(F.lit(1)).alias("n_tips"))
+    common = (
+        named.join(total, ["tree", "genus"])
+        .where("n = n_tips")
+        .groupBy("tree", "genus", "n_tips")
+        .agg(F.max_by("anc", "at").alias("anc"))
+    )
+    return common.join(below, ["tree", "anc"]).select("tree", "genus", "n_tips", "n_below", F.round(F.col("n_tips") / F.col("n_below"), 6).alias("purity"))
+
+
+def pruned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that stay when each tree is cut down to its tips with an own label and single-child nodes are suppressed.
+
+    A node stays if it is such a tip or if kept tips lie below at least two of
+    its children; ``parent_id`` is its next kept ancestor, ``span`` the edges between.
+    """
+    above = _tips(spark, sf_dir).select("tree", "node_id", "path", F.posexplode("path").alias("at", "anc"))
+    child = F.try_element_at("path", F.col("at") + 2)
+    forks = above.where(child.isNotNull()).groupBy("tree", "anc").agg(F.count_distinct(child).alias("n")).where("n >= 2").select("tree", "anc")
+    kept = above.join(forks.withColumn("fork", F.lit(True)), ["tree", "anc"], "left").where("fork OR anc = node_id")
+    w = Window.partitionBy("tree", "node_id").orderBy("at")
+    linked = kept.select("tree", F.col("anc").alias("kept_id"), F.lag("anc").over(w).alias("parent_id"), (F.col("at") - F.lag("at").over(w)).alias("span"))
+    return linked.distinct()
+
+
+def relation_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and quartiles of pair distances by relation."""
+    d = F.round("cosine", 9)
+    return _pairs(spark, sf_dir).groupBy("relation").agg(
+        F.round(F.percentile(d, 0.25), 6).alias("q25"), F.round(F.percentile(d, 0.5), 6).alias("q50"), F.round(F.percentile(d, 0.75), 6).alias("q75")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_coverage, vector_centroid, centroid_of_centroids, cosine_medoid, genus_medoid, covariance_trace, knn_exact, nearest_centroid,
         vector_pairs, distance_fit, nj_genera, tree_summary, subtree_sizes, lca_pairs, tip_depth_correlation, rf_distance,
+        taxon_purity, pruned_nodes, relation_bins,
     )
 }
 
@@ -196,6 +244,22 @@ _TIPS = f"""{_SQL_WALK}, lab AS (SELECT tree, node_id, max(original_label) AS la
                FROM own JOIN s ON s.tree = own.tree AND s.node_id = own.node_id WHERE fate = 'rooted')"""
 
 SQL = {
+    "taxon_purity": f"""{_TIPS}, gn AS (SELECT label, arg_min(genus, record_no) AS genus FROM (SELECT upper({sql_clean("processid")}) AS label,
+          {sql_taxon("genus")} AS genus, record_no FROM bcdm_records) WHERE label IS NOT NULL AND genus IS NOT NULL GROUP BY label),
+        ab AS (SELECT tree, node_id, label, path[i] AS anc, i FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM tips)),
+        be AS (SELECT tree, anc, count(*) AS n_below FROM ab GROUP BY ALL),
+        tt AS (SELECT tree, genus, count(*) AS n_tips FROM tips JOIN gn USING (label) GROUP BY ALL),
+        na AS (SELECT tree, genus, anc, count(*) AS n, max(i) AS i FROM ab JOIN gn USING (label) GROUP BY tree, genus, anc),
+        co AS (SELECT na.tree, na.genus, n_tips, arg_max(anc, i) AS anc FROM na JOIN tt ON tt.tree = na.tree AND tt.genus = na.genus
+          WHERE n = n_tips GROUP BY na.tree, na.genus, n_tips)
+        SELECT co.tree, genus, n_tips, n_below, round(n_tips / n_below, 6) AS purity FROM co JOIN be ON be.tree = co.tree AND be.anc = co.anc""",
+    "pruned_nodes": f"""{_TIPS}, ab AS (SELECT tree, node_id, path[i] AS anc, path[i + 1] AS child, i FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM tips)),
+        fo AS (SELECT tree, anc FROM ab WHERE child IS NOT NULL GROUP BY ALL HAVING count(DISTINCT child) >= 2),
+        ke AS (SELECT ab.* FROM ab LEFT JOIN fo ON fo.tree = ab.tree AND fo.anc = ab.anc WHERE fo.anc IS NOT NULL OR ab.anc = node_id)
+        SELECT DISTINCT tree, anc AS kept_id, lag(anc) OVER u AS parent_id, (i - lag(i) OVER u)::INT AS span FROM ke
+        WINDOW u AS (PARTITION BY tree, node_id ORDER BY i)""",
+    "relation_bins": f"""WITH {_PAIRS} SELECT relation, round(quantile_cont(round(cosine, 9), 0.25), 6) AS q25, round(quantile_cont(round(cosine, 9), 0.5), 6) AS q50,
+        round(quantile_cont(round(cosine, 9), 0.75), 6) AS q75 FROM p GROUP BY 1""",
     "vector_coverage": f"""SELECT CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'dimensions' WHEN NOT ({_USABLE}) THEN 'not_usable'
         WHEN {sql_taxon("species")} IS NULL THEN 'no_species' ELSE 'kept' END AS reason, count(*) AS n_rows FROM embedding_bundle GROUP BY 1""",
     "vector_centroid": f"WITH {_CELLS} SELECT label, dim, count(*) AS n, round(sum(x) / count(*), 6) AS mean FROM c GROUP BY ALL",
