@@ -23,9 +23,15 @@ def blank_clean(cell: Column) -> Column:
 
 
 def taxon_name(cell: Column) -> Column:
-    """Cleaned taxon with a capital and small letters; null if missing."""
-    text = blank_clean(cell)
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(text.substr(F.lit(2), F.length(text))))
+    """Cleaned taxon with a capital and small letters; null if missing.
+
+    The collapsed text is bound once by a lambda, as it would otherwise be made anew at each of its uses.
+    """
+    def named(text: Column) -> Column:
+        lower = F.lower(text)
+        return F.when(~lower.isin(*PLACEHOLDERS), F.concat(F.upper(F.substring(text, 1, 1)), lower.substr(F.lit(2), F.length(lower))))
+
+    return F.get(F.transform(F.array(collapse(cell)), named), F.lit(0))
 
 
 def bin_name(cell: Column) -> Column:

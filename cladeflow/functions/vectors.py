@@ -19,8 +19,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n))
+    """The vector at length 1, null for a zero vector; the norm is bound once, not made anew per element."""
+    scaled = lambda n: F.when(n > 0, F.transform(doubles(v), lambda x: x / n))
+    return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
