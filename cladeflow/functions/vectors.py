@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, not anew per element of an array that ``use`` goes through."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(v: Column) -> Column:
-    """The vector at length 1, null for a zero vector; the norm is bound once, not made anew per element."""
-    scaled = lambda n: F.when(n > 0, F.transform(doubles(v), lambda x: x / n))
-    return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))
+    """The vector at length 1, null for a zero vector."""
+    return bind(norm(v), lambda n: F.when(n > 0, F.transform(doubles(v), lambda x: x / n)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

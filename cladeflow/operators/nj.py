@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.operators import representations as R
+from cladeflow.session import Scratch
+
 MAX_CHILDREN = 2000
 
 
@@ -51,11 +54,13 @@ def neighbour_joining(d: np.ndarray) -> tuple[list[tuple[int, int, float]], int]
     return edges, clamped
 
 
-def local_trees(children: DataFrame, group: str, key: str, vector: str, max_children: int = MAX_CHILDREN) -> DataFrame:
+def local_trees(children: DataFrame, group: str, key: str, vector: str, max_children: int = MAX_CHILDREN, graft: bool = False) -> DataFrame:
     """(group, parent, child, length): a connector tree of the children of each taxon, by Euclidean distance.
 
-    Tips are keys as text, joints ``<group>#<number>``. A taxon with more than
-    ``max_children`` children is refused before any distance is computed.
+    Tips are keys as text, joints ``<group>#<number>``. With ``graft`` the last
+    joint is the taxon itself, and a lone child hangs on it at length 0. A taxon
+    with more than ``max_children`` children is refused before any distance is
+    computed.
     """
     widest = children.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if widest > max_children:
@@ -70,7 +75,36 @@ def local_trees(children: DataFrame, group: str, key: str, vector: str, max_chil
         names, label = part["key"].tolist(), part["grp"].iloc[0]
         name = lambda i: names[i] if i < len(names) else f"{label}#{i - len(names)}"
         edges = [(label, name(p), name(c), w) for p, c, w in neighbour_joining(d)[0]]
+        if graft:
+            last = edges[-1][1] if edges else label
+            edges = [(label, label if p == last else p, c, w) for _, p, c, w in edges] or [(label, label, names[0], 0.0)]
         return pd.DataFrame(edges, columns=["grp", "parent", "child", "length"])
 
     shaped = children.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("string").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
     return shaped.groupBy("grp").applyInPandas(build, "grp string, parent string, child string, length double")
+
+
+def grafted_tree(rows: DataFrame, ranks: list[str], vector: str, max_children: int = MAX_CHILDREN) -> DataFrame:
+    """(rank, parent, child, length): one tree over all ranks, each taxon's children joined by the distance of their means.
+
+    Taxa are named by their path (``order|family|...``, below ``root``), joints as
+    in ``local_trees``. Means count records, and sums go up rank by rank, so rows
+    are read once. The trees of the taxa are edge tables that share the taxon's
+    name, so grafting is a union. Rows that miss a rank are left out; a bar in a
+    name becomes a slash.
+    """
+    scratch = Scratch(rows.sparkSession, "grafted")
+    names = [F.translate(F.col(r), "|", "/") for r in ranks]
+    named = rows.where(F.forall(F.array(*ranks), lambda r: r.isNotNull())).select(F.concat_ws("|", F.lit("root"), *names).alias("path"), vector)
+    cells = scratch.keep(R.centroid_cells(named, "path", vector))
+    tree = None
+    for depth in range(len(ranks), 0, -1):
+        path = F.substring_index("path", "|", depth + 1)
+        summed = cells.groupBy(path.alias("path"), "dim").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        means = summed.groupBy("path").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("dim", (F.col("total") / F.col("n")).alias("x")))), lambda c: c["x"]).alias("mean")
+        )
+        taxa = means.withColumn("taxon", F.substring_index("path", "|", depth))
+        part = local_trees(taxa, "taxon", "path", "mean", max_children, graft=True).select(F.lit(ranks[depth - 1]).alias("rank"), "parent", "child", "length")
+        tree = part if tree is None else tree.unionByName(part)
+    return tree

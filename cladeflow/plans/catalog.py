@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cladeflow.plans import problems, records, vectors
+from cladeflow.plans import problems, records, trees, vectors
 
-MODULES = (problems, records, vectors)
+MODULES = (problems, records, vectors, trees)
 
 
 def entry(spark, sf_dir):
