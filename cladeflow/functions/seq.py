@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.functions.vectors import bind
 from cladeflow.session import Scratch
 
 # IUPAC codes with the bases they stand for, and their complements.
@@ -180,8 +181,12 @@ def site_counts(a: Column, b: Column) -> Column:
         .when(F.concat(s["x"], s["y"]).isin("AG", "GA", "CT", "TC"), 1)
         .otherwise(2),
     )
-    count = lambda v: F.size(F.filter(classes, lambda c: c == v))
-    return F.struct((count(0) + count(1) + count(2)).alias("sites"), count(1).alias("ts"), count(2).alias("tv"))
+
+    def counted(all_sites: Column) -> Column:
+        count = lambda v: F.size(F.filter(all_sites, lambda c: c == v))
+        return F.struct((F.size(all_sites) - count(-1)).alias("sites"), count(1).alias("ts"), count(2).alias("tv"))
+
+    return bind(classes, counted)
 
 
 def distance(counts: Column, model: str, min_sites: int = 1) -> Column:
