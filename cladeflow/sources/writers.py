@@ -23,3 +23,9 @@ def write_by_key(rows: DataFrame, path: str, key: str, salts: int = 1) -> None:
     """Parquet partitioned by a key; with more ``salts`` a hot key's rows are written by that many tasks."""
     spread = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
     spread.repartition(key, "_s").drop("_s").write.mode("errorifexists").option("compression", "zstd").partitionBy(key).parquet(path)
+
+
+def write_newick(tokens: DataFrame, path: str) -> None:
+    """Pieces of ``trees.newick_tokens`` as text, one per line; part files in order of their names make up the trees."""
+    ordered = tokens.repartitionByRange("tree", "root_id", "key").sortWithinPartitions("tree", "root_id", "key")
+    ordered.select("token").write.mode("errorifexists").text(path)

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cladeflow.operators import nj, shapes, trees
-from cladeflow.sources import readers
+from cladeflow.sources import readers, writers
 
 ROWS = "tree string, node_id bigint, parent_id bigint, root_to_node_sum double, written_at timestamp_ntz, label string, length string"
 
@@ -75,13 +75,13 @@ def test_trees_of_nothing(spark):
     assert trees.leaf_weights(m).count() == trees.midpoints(m).count() == trees.midpoint_rooted(m).count() == 0
 
 
-def test_newick_round_trip(spark):
+def test_newick_round_trip(spark, tmp_path):
     rows = random_tree(8, 30)
     m = trees.Measured(table(spark, rows))
     names = {n: f"it's {n}" if n % 3 else f"n{n}" for _, n, _, _ in rows if n % 5}
     labels = spark.createDataFrame([("t", n, x) for n, x in names.items()], "tree string, node_id bigint, label string")
-    tokens = trees.newick_tokens(m.paths, m.edges, labels).orderBy("tree", "root_id", "key").collect()
-    back = list(readers.parse_newick("\n".join(t.token for t in tokens)))
+    writers.write_newick(trees.newick_tokens(m.paths, m.edges, labels), str(tmp_path / "out"))
+    back = list(readers.parse_newick("\n".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*")))))
     children = {}
     for _, n, p, _ in rows:
         children.setdefault(p, []).append(n)
