@@ -181,3 +181,39 @@ def test_no_details(spark):
 def test_checksums():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert pii.mod97("1234567" + f"{97 - 1234567 % 97:02d}")
+
+
+def test_bucketings_keep_the_bound():
+    agree = 1 - np.arccos(clusters.THRESHOLD) / np.pi
+    for n in (1, 1_000, 15_000, 150_000, 2_000_000, 10**9):
+        bits, tables = clusters.bucketings(n, clusters.THRESHOLD)
+        assert (1 - agree**bits) ** tables <= clusters.MISS
+    assert clusters.bucketings(1_000, clusters.THRESHOLD) == (0, 1) and clusters.bucketings(2_000_000, clusters.THRESHOLD)[0] > 5
+
+
+def lone_pairs(seed, n):
+    """n pairs with a cosine of 0.87, all else far apart."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((2, n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return np.concatenate([x, 0.87 * x + np.sqrt(1 - 0.87**2) * y])
+
+
+def linked_pairs(spark, n, bits, tables, limit):
+    cells = [(i, v.astype(np.float16).tobytes()) for i, v in enumerate(lone_pairs(4, n))]
+    nodes = spark.createDataFrame(cells, "id bigint, vec binary").repartition(3)
+    links = clusters.projection_links(nodes, bits, tables, 0, clusters.THRESHOLD, limit)
+    return {(min(r.src, r.dst), max(r.src, r.dst)) for r in links.where("sim >= 0.86").collect()}
+
+
+def test_lone_pairs_meet_among_many_buckets(spark):
+    bits = 8
+    agree = 1 - np.arccos(clusters.THRESHOLD) / np.pi
+    tables = int(np.ceil(np.log(clusters.MISS) / np.log1p(-(agree**bits))))
+    assert linked_pairs(spark, 1500, bits, tables, 4096) >= {(i, i + 1500) for i in range(1500)}
+
+
+def test_large_buckets_are_compared_whole(spark):
+    assert linked_pairs(spark, 1500, 0, 1, 400) >= {(i, i + 1500) for i in range(1500)}
