@@ -217,3 +217,16 @@ def test_lone_pairs_meet_among_many_buckets(spark):
 
 def test_large_buckets_are_compared_whole(spark):
     assert linked_pairs(spark, 1500, 0, 1, 400) >= {(i, i + 1500) for i in range(1500)}
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_typical_members_of_whole_groups(spark, block):
+    rows, truth = vectors(8, [60, 9, 2, 1])
+    frame = spark.createDataFrame([(i, e, "Abies alba") for i, e in random.Random(4).sample(rows, len(rows))], "faiss_id bigint, embedding array<float>, species string")
+    got = {r.cluster_id: r.typical_ids for r in clusters.describe(clusters.cluster(frame, block=block), frame).collect()}
+    expected = {}
+    for c in {c for c in truth.values() if list(truth.values()).count(c) > 1}:
+        ids = np.array([i for i, _ in rows if truth[i] == c])
+        unit = np.array([np.array(e, np.float32) / np.linalg.norm(e) for i, e in rows if truth[i] == c])
+        expected[c] = ids[np.lexsort((ids, -np.round(unit @ unit.sum(axis=0), 4)))[:3]].tolist()
+    assert {c: set(v) for c, v in got.items()} == {c: set(v) for c, v in expected.items()}
