@@ -56,6 +56,7 @@ DOMAIN = re.compile(r"[ ]?[\w-]+(?:(?:\.|[ ]?[\[(][ ]?dot[ ]?[\])][ ]?)[\w-]+)+"
 PHONE = re.compile(
     r"[+(\d](?<![\w.+/-].)(?<!\w[-(].)(?:"
     r"(?<=\+)\d{1,3}[ .-]?(?:\(0\)[ ]?)?\d(?:[ .-]?\d){6,11}"
+    r"|(?<=\+)\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d(?:[ .-]?\d){5,10}"
     r"|(?<=0)0\d{2}[ ]?(?:\(0\)[ ]?)?\d(?:[ .-]?\d){6,11}"
     r"|(?<=\()[2-9]\d{2}\)[ ]?[2-9]\d{2}[ .-]\d{4}"
     r"|(?<=[2-9])\d{2}[.-][2-9]\d{2}[.-]\d{4}"
@@ -63,6 +64,16 @@ PHONE = re.compile(
     r"|(?<=0)\d{3,4}[ ]\d{3}[ ]?\d{3}"
     r")(?![\w]|[.-]\d)"
 )
+# Shapes that count only with words, and for plain digits a checksum, close by on the line.
+PHONE_WORD = re.compile(r"(?<![A-Za-z])(?:tel|telephone|telefon|tél|phone|mobile|cell|call|ring|fax|contact|reach)(?![A-Za-z])", re.IGNORECASE)
+WEAK_PHONE = re.compile(r"(?<![\w.+/(-])(?:0\d{2,4}[ /-]\d{3,4}(?:[ -]?\d{3,4})?|[2-9]\d{2} [2-9]\d{2} \d{4})(?!\w|[./-]\d| \d)")
+ID_WORD = re.compile(
+    r"(?<![A-Za-z0-9])(?:SSN|ssn|[Ss]ocial [Ss]ecurity|[Tt]ax(?:payer)? (?:id|ID|no|number)|TIN|[Ss]teuer(?:-?ID|nummer|nr)|NINO|[Nn]ational (?:[Ii][Dd]|[Ii]nsurance|[Ii]dentity)"
+    r"|[Pp]assport|PASSPORT|[Rr]eisepass|[Pp]asaporte|[Pp]asseport|[Aa]usweis|[Pp]ersonal (?:number|no)|[Pp]ersonnummer|[Ii]dentity (?:card|no|number)|DNI|NIF|NIE|PESEL|CPF)(?![A-Za-z0-9])"
+)
+WEAK_ID = re.compile(r"(?<![\w.+/-])(?:[A-Z]{1,2}\d{6,8}|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d(?:[ ./-]?\d){8,14})(?!\w|[./-]\d)")
+NEAR = 40
+ESCAPED = re.compile(r"(?<!\\)\\u(?:[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|(?![dD][89a-fA-F])[0-9a-fA-F]{4})")
 LABELS = (
     "SSN", "ssn", "ecurity", "ax id", "ax ID", "ax no", "ax number", "payer ", "TIN", "teuer", "NINO", "NI n", "ational I", "ational i",
     "assport", "PASSPORT", "usweis", "eisepass", "asaporte", "asseport", "ersonal n", "ersonnummer", "dentity ", "DNI", "NIF", "NIE",
@@ -133,6 +144,44 @@ def mod97(digits: str) -> bool:
     return len(digits) > 4 and (int(digits) % 97 == 1 or int(digits[-2:]) == 97 - int(digits[:-2]) % 97)
 
 
+def _weighted(digits: str, weights: range | tuple[int, ...]) -> int:
+    return sum(int(d) * w for d, w in zip(digits, weights))
+
+
+def pesel(digits: str) -> bool:
+    return len(digits) == 11 and _weighted(digits, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1)) % 10 == 0
+
+
+def cpf(digits: str) -> bool:
+    return len(digits) == 11 and all(_weighted(digits, range(n + 1, 1, -1)[:n]) * 10 % 11 % 10 == int(digits[n]) for n in (9, 10))
+
+
+def steuer_id(digits: str) -> bool:
+    """ISO 7064 mod 11, 10."""
+    product = 10
+    for d in digits[:-1]:
+        product = ((product + int(d)) % 10 or 10) * 2 % 11
+    return len(digits) == 11 and (11 - product) % 10 == int(digits[-1])
+
+
+def dni(cell: str) -> bool:
+    """Spanish DNI or NIE: the letter follows from the number."""
+    bare = re.sub(r"[ ./-]", "", cell)
+    return bool(re.fullmatch(r"[XYZ\d]\d{7}[A-Z]", bare)) and "TRWAGMYFPDXBNJZSQVHLCKE"[int(bare[:-1].translate(str.maketrans("XYZ", "012"))) % 23] == bare[-1]
+
+
+def checked(cell: str) -> bool:
+    """Whether a number's check digits are right in a scheme of its length."""
+    digits = "".join(c for c in cell if c.isdigit())
+    if any(c.isalpha() for c in cell):
+        return dni(cell)
+    n = len(digits)
+    return n in (9, 10) and luhn(digits) or n in (11, 15) and mod97(digits) or pesel(digits) or cpf(digits) or steuer_id(digits)
+
+
+SCHEMES = {"PESEL": pesel, "CPF": cpf}
+
+
 def _plain(word: str) -> str:
     bare = unicodedata.normalize("NFD", word.replace("ł", "l").replace("Ł", "L").replace("ø", "o").replace("Ø", "O"))
     return "".join(c for c in bare if not unicodedata.combining(c)).lower()
@@ -146,6 +195,18 @@ def unescaped(text: str) -> str:
     return text
 
 
+def decoded(text: str) -> tuple[str, np.ndarray | None]:
+    """The text with \\uXXXX escapes as the characters they stand for, and where each character (and the end) was before."""
+    if "\\u" not in text or not ESCAPED.search(text):
+        return text, None
+    out, steps, at = [], [], 0
+    for m in ESCAPED.finditer(text):
+        out += [text[at : m.start()], m.group(0).encode().decode("unicode_escape").encode("utf-16", "surrogatepass").decode("utf-16")]
+        steps += [np.arange(at, m.start() + 1)]
+        at = m.end()
+    return "".join(out) + text[at:], np.concatenate([*steps, np.arange(at, len(text) + 1)])
+
+
 def _mails(text: str) -> Iterator[tuple[int, int, int]]:
     for m in AT.finditer(text):
         first = max(0, m.start() - 66)
@@ -163,12 +224,42 @@ def _ids(text: str) -> Iterator[tuple[int, int, int]]:
         for m in LABELLED.finditer(text):
             digits = "".join(c for c in m.group(1) if c.isdigit())
             if len(digits) >= 5:
-                yield m.start(1), m.end(1), 3 + (len(digits) >= 9 and (luhn(digits) or mod97(digits)))
+                scheme = next((f for label, f in SCHEMES.items() if m.group(0).startswith(label)), None)
+                yield m.start(1), m.end(1), 3 if scheme is None else 4 if scheme(digits) else 2
     for m in BARE_SSN.finditer(text):
         if m.start() >= 3 and SSN_HEAD.search(text, max(0, m.start() - 4), m.start()):
             yield m.start() - 3, m.end(), 3
 
 
+def _near(text: str, word: re.Pattern, shape: re.Pattern) -> Iterator[tuple[re.Match, str]]:
+    """Shapes at most NEAR characters before or behind a word on the same line, with that word."""
+    for w in word.finditer(text):
+        first = max(text.rfind("\n", 0, w.start()) + 1, w.start() - NEAR - 24)
+        last = text.find("\n", w.end())
+        last = min(last if last >= 0 else len(text), w.end() + NEAR + 24)
+        for m in shape.finditer(text, first, len(text)):
+            if m.start() > last:
+                break
+            if m.end() <= last and -NEAR <= m.start() - w.end() <= NEAR or 0 <= w.start() - m.end() <= NEAR:
+                yield m, w.group(0)
+
+
+def _weak_ids(text: str) -> Iterator[tuple[int, int, int]]:
+    """Unlabelled shapes score 0, a word close by 2, right check digits or a passport's letters by its word 1."""
+    if any(label in text for label in LABELS):
+        for m, word in _near(text, ID_WORD, WEAK_ID):
+            cell = m.group(0)
+            lettered = re.fullmatch(r"[A-Z]{1,2}\d{6,8}", cell) and re.search(r"ass?(?:e?port|aporte)|ASSPORT|eisepass|usweis", word)
+            yield m.start(), m.end(), 2 + bool(lettered or checked(cell))
+
+
+def _weak_phones(text: str) -> Iterator[tuple[int, int, int]]:
+    """Shapes without country code or bracket score 2, a word close by 1."""
+    for m, _ in _near(text, PHONE_WORD, WEAK_PHONE):
+        if 9 <= sum(c.isdigit() for c in m.group(0)) <= 12:
+            yield m.start(), m.end(), 3
+
+
 def _addresses(text: str) -> Iterator[tuple[int, int, int]]:
     if any(hint in text for hint in NUMBER_FIRST_HINTS):
         for m in NUMBER_FIRST.finditer(text):
@@ -225,21 +316,25 @@ def find_details(text: str | None) -> list[tuple[str, int, int]]:
     """(type, start, end) of every detail, in order and without overlaps; none in a null or empty text."""
     if not text:
         return []
-    work = unescaped(text)
+    work, origin = decoded(text)
+    work = unescaped(work)
     found: list[tuple[int, int, int, str]] = []
     sources = (("email", _mails(work)), ("id_number", _ids(work)), ("phone", _phones(work)), ("address", _addresses(work)))
     for kind, source in sources:
         found += [(s, e, score, kind) for s, e, score in source]
     starts = np.array(sorted(x[0] for x in found), np.int64)
     found += [(s, e, score, "person_name") for s, e, score in _names(work, starts)]
+    weak = [(s, e, score, kind) for kind, source in (("phone", _weak_phones(work)), ("id_number", _weak_ids(work))) for s, e, score in source]
     kept: list[tuple[int, int, int, str]] = []
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "person_name": 4}
     # Of overlapping spans the kind named first counts, then the longer one.
     taken: list[tuple[int, int]] = []
-    for s, e, score, kind in sorted(found, key=lambda x: (rank[x[3]], x[0] - x[1], x[0])):
+    for s, e, score, kind in sorted(found, key=lambda x: (rank[x[3]], x[0] - x[1], x[0])) + weak:
         if score >= THRESHOLD and not any(s < b and a < e for a, b in taken):
             taken.append((s, e))
             kept.append((s, e, score, kind))
+    if origin is not None:
+        kept = [(int(origin[s]), int(origin[e]), score, kind) for s, e, score, kind in kept]
     return [(kind, s, e) for s, e, _, kind in sorted(kept)]
 
 

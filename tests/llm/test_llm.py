@@ -230,3 +230,26 @@ def test_typical_members_of_whole_groups(spark, block):
         unit = np.array([np.array(e, np.float32) / np.linalg.norm(e) for i, e in rows if truth[i] == c])
         expected[c] = ids[np.lexsort((ids, -np.round(unit @ unit.sum(axis=0), 4)))[:3]].tolist()
     assert {c: set(v) for c, v in got.items()} == {c: set(v) for c, v in expected.items()}
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("tel 020 7946 0958 or", "phone", "020 7946 0958"),
+        ("phone: 030 1234567", "phone", "030 1234567"),
+        ("call 0171-2345678 now", "phone", "0171-2345678"),
+        ("212 555 0123 is the fax", "phone", "212 555 0123"),
+        ("at +1 (212) 555-0123.", "phone", "+1 (212) 555-0123"),
+        ("the passport of the owner is X1234567", "id_number", "X1234567"),
+        ("44051401359 | PESEL | Warsaw", "id_number", "44051401359"),
+        ("by Jos\\u00e9 Garc\\u00eda, call +33 1 99 00 12 34", "phone", "+33 1 99 00 12 34"),
+        ("Thanks to Jos\\u00e9 Garc\\u00eda for it", "person_name", "Jos\\u00e9 Garc\\u00eda"),
+    ],
+)
+def test_details_by_words_and_checksums(text, kind, value):
+    assert (kind, value) in [(k, text[s:e]) for k, s, e in pii.find_details(text)]
+
+
+def test_weak_shapes_need_their_words_and_checks():
+    for text in ("44051401359 | reads | Warsaw", "44051401358 | PESEL | Warsaw", "PESEL 44051401358", "serial 0171-2345678", "n = 212 555 0123"):
+        assert pii.find_details(text) == []
