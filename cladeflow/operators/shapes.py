@@ -99,7 +99,7 @@ def spherical_means(rows: DataFrame, group: str, vector: str, dimensions: int, t
     sound = rows.where(F.col(group).isNotNull() & V.usable(F.col(vector), dimensions))
     units = scratch.keep(sound.select(group, V.unit(F.col(vector)).alias("u")))
     start = R.centroids(units, group, "u").where(V.norm(F.col("centroid")) > 1e-12)
-    moving = scratch.keep(start.select(group, "n", V.unit(F.col("centroid")).alias("mean"), F.lit(1.0).alias("moved")))
+    moving = written = scratch.keep(start.select(group, "n", V.unit(F.col("centroid")).alias("mean"), F.lit(1.0).alias("moved")))
     settled = None
     for _ in range(rounds):
         cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("u"), F.col("mean"))))
@@ -113,9 +113,10 @@ def spherical_means(rows: DataFrame, group: str, vector: str, dimensions: int, t
         ratio = F.coalesce(F.try_divide(F.sin("moved"), V.norm(F.col("t"))), F.lit(1.0))
         turned = V.bind(ratio, lambda r: F.zip_with("mean", "t", lambda a, b: F.cos("moved") * a + r * b))
         following = scratch.keep(ahead.select(group, "n", V.unit(turned).alias("mean"), "moved"))
-        scratch.drop(moving)
         still = following.where(F.col("moved") >= tolerance)
         done = following.where(F.col("moved") < tolerance).drop("moved")
+        if settled is None:  # the first table holds no settled mean, later ones are read for theirs
+            scratch.drop(written)
         settled = done if settled is None else settled.unionByName(done)
         if not still.limit(1).count():
             return settled
