@@ -28,7 +28,7 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.block_sample(sampling.number(sampling.arrivals(table(spark, sf_dir, "embedding_bundle"))))
+    return sampling.block_sample(sampling.delivered(table(spark, sf_dir, "embedding_bundle")))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,23 @@
 """A sample of ids that reruns, layouts and later arrivals don't change.
 
-Every id has a persistent sequence number. Numbers form blocks of a fixed
-length, and a hash of the block number alone decides which positions of the
-block are chosen, filled or not, so later ids never move earlier choices.
+Every id has a persistent sequence number, kept in a stored registry to which
+arrivals only add. Numbers form blocks of a fixed length, and a hash of the
+block number alone decides which positions of the block are chosen, filled or
+not, so later ids never move earlier choices.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.text import blank_clean
+from cladeflow.session import Scratch
 
 BLOCK = 100
 TAKE = 10
 SEED = "cladeflow-1"
-BUCKET_BITS = 12
+MOST_DELIVERIES = 3
 
 
 def sample_id(cell: Column) -> Column:
@@ -24,48 +26,76 @@ def sample_id(cell: Column) -> Column:
 
 
 def arrivals(rows: DataFrame, id_column: str = "ids", bundle: str = "bundle_no", order: str = "faiss_id") -> DataFrame:
-    """(id, bundle, ord): the first arrival of each id. Missing ids are left out; a missing bundle comes before all."""
+    """(id, bundle, ord): the first arrival of each id. Missing ids are left out; a missing bundle or order comes after all."""
     return (
-        rows.select(
-            sample_id(F.col(id_column)).alias("id"),
-            F.coalesce(F.col(bundle).cast("bigint"), F.lit(-1)).alias("bundle"),
-            F.coalesce(F.col(order).cast("bigint"), F.lit(-1)).alias("ord"),
-        )
+        rows.select(sample_id(F.col(id_column)).alias("id"), F.col(bundle).cast("bigint").alias("bundle"), F.col(order).cast("bigint").alias("ord"))
         .where("id IS NOT NULL")
         .groupBy("id")
-        .agg(F.min(F.struct("bundle", "ord")).alias("_first"))
+        .agg(F.min(F.struct(F.col("bundle").isNull().alias("no_bundle"), "bundle", F.col("ord").isNull().alias("no_ord"), "ord")).alias("_first"))
         .select("id", "_first.bundle", "_first.ord")
     )
 
 
+def _numbered(first: DataFrame, offset: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(id, seq_no) from ``offset`` in order of bundle, row and id, and the next free number.
+
+    One range-partitioned sort orders the ids whatever their values look like;
+    the driver adds up one count per partition.
+    """
+    keys = (F.col("bundle").isNull(), F.col("bundle"), F.col("ord").isNull(), F.col("ord"), F.col("id"))
+    # Spark's row ids hold the partition above the lowest 33 bits and the position within it below.
+    placed = scratch.keep(first.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftrightunsigned("_at", 33)
+    begin = {}
+    for p, n in sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        begin[p], offset = offset, offset + n
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in begin.items() for x in pair]), part) if begin else F.lit(0)
+    return placed.select("id", (start + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("bigint").alias("seq_no")), offset
+
+
 def number(first: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """(id, seq_no) from 0, in order of bundle and row; numbers in ``registry`` stay and new ids follow them.
+    """(id, seq_no) of ``arrivals`` rows; numbers in ``registry`` stay and new ids follow them."""
+    scratch = Scratch(first.sparkSession, "numbers")
+    if registry is None:
+        return _numbered(first, 0, scratch)[0]
+    last = registry.agg(F.max("seq_no")).first()[0]
+    fresh = first.join(registry.select("id"), "id", "left_anti")
+    return registry.select("id", "seq_no").unionByName(_numbered(fresh, 0 if last is None else last + 1, scratch)[0])
+
+
+class Registry:
+    """The stored table of (id, seq_no), one folder per delivery; numbers once given are only ever added to."""
 
-    Ranks are counted in three levels of at most 2^BUCKET_BITS rows (``ord`` is
-    unique per bundle but for ties, which the id breaks), so no window sees
-    more than one bucket; the top one has a row per 2^(2 * BUCKET_BITS) ids.
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.parts, self.next = scratch, [], 0
+
+    def table(self) -> DataFrame:
+        return self.scratch.read("id string, seq_no bigint", *self.parts)
+
+    def deliver(self, first: DataFrame) -> None:
+        """Numbers the ids of ``arrivals`` rows that the registry doesn't know and stores them."""
+        fresh = first.join(self.table().select("id"), "id", "left_anti") if self.parts else first
+        given, self.next = _numbered(fresh, self.next, self.scratch)
+        self.parts.append(self.scratch.write(given))
+
+
+def delivered(rows: DataFrame, id_column: str = "ids", bundle: str = "bundle_no", order: str = "faiss_id", most: int = MOST_DELIVERIES) -> DataFrame:
+    """(id, seq_no) of a registry to which the bundles came one after the other, rows without a bundle last.
+
+    With more than ``most`` bundles, neighbouring ones come together; the numbers are the same.
     """
-    offset = F.lit(0)
-    if registry is not None:
-        first = first.join(registry, "id", "left_anti")
-        offset = F.lit((registry.agg(F.max("seq_no")).first()[0] or -1) + 1) if registry.limit(1).count() else F.lit(0)
-    fine, coarse = F.shiftright("ord", BUCKET_BITS), F.shiftright("ord", 2 * BUCKET_BITS)
-    placed = first.withColumn("fine", fine).withColumn("coarse", coarse)
-    buckets = placed.groupBy("bundle", "coarse", "fine").agg(F.count(F.lit(1)).alias("n"))
-    tops = buckets.groupBy("bundle", "coarse").agg(F.sum("n").alias("n"))
-    before = (Window.unboundedPreceding, -1)
-    w_top = Window.orderBy("bundle", "coarse").rowsBetween(*before)
-    w_fine = Window.partitionBy("bundle", "coarse").orderBy("fine").rowsBetween(*before)
-    w_row = Window.partitionBy("bundle", "coarse", "fine").orderBy("ord", "id")
-    tops = tops.select("bundle", "coarse", F.coalesce(F.sum("n").over(w_top), F.lit(0)).alias("top"))
-    buckets = buckets.select("bundle", "coarse", "fine", F.coalesce(F.sum("n").over(w_fine), F.lit(0)).alias("low"))
-    numbered = (
-        placed.withColumn("rank", F.row_number().over(w_row))
-        .join(buckets, ["bundle", "coarse", "fine"])
-        .join(tops, ["bundle", "coarse"])
-        .select("id", (offset + F.col("top") + F.col("low") + F.col("rank") - 1).cast("bigint").alias("seq_no"))
-    )
-    return numbered if registry is None else registry.select("id", "seq_no").unionByName(numbered)
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "registry")
+    first = scratch.keep(arrivals(rows, id_column, bundle, order))
+    found = [r[0] for r in first.select("bundle").distinct().collect()]
+    edges = sorted(b for b in found if b is not None)
+    step = max(1, -(-len(edges) // most))
+    registry = Registry(scratch)
+    for i in range(0, len(edges), step):
+        registry.deliver(first.where(F.col("bundle").between(edges[i], edges[min(i + step, len(edges)) - 1])))
+    if None in found or not found:
+        registry.deliver(first.where("bundle IS NULL"))
+    return registry.table()
 
 
 def block_sample(numbered: DataFrame, block: int = BLOCK, take: int = TAKE, seed: str = SEED) -> DataFrame:

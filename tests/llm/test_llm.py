@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from cladeflow.llm import clusters, leaks, pii, sampling, survivors, tokenizer
+from cladeflow.session import Scratch
 
 RECORDS = "record_no bigint, bin_uri string, ingested_at timestamp, " + ", ".join(f"{r} string" for r in survivors.RANKS)
 SCORES = "record_no bigint, primer_support string, coverage_rank int, primer_mismatches int, ambiguity_fraction double, scored_at timestamp"
@@ -80,7 +81,20 @@ def test_sample_is_stable(spark):
     small = {r.id for r in sampling.block_sample(early, 50, 5).collect()}
     large = {r.id for r in sampling.block_sample(once.repartition(7), 50, 5).collect()}
     assert small and small <= large and large == {r.id for r in sampling.block_sample(grown, 50, 5).collect()}
+    assert {r.id: r.seq_no for r in sampling.delivered(frame).collect()} == seqs
     assert sampling.block_sample(sampling.number(sampling.arrivals(frame.limit(0)))).count() == 0
+    assert sampling.delivered(frame.limit(0)).count() == 0
+
+
+def test_numbers_follow_the_registry(spark):
+    rows = "ids string, bundle_no int, faiss_id bigint"
+    one = sampling.number(sampling.arrivals(spark.createDataFrame([("x", 1, 5)], rows)))
+    more = spark.createDataFrame([("x", 1, 5), ("z", 2, 6), ("y", 1, -(2**62)), ("late", None, 1), ("w", 2, 2**62), ("v", 2, None)], rows)
+    assert {r.id: r.seq_no for r in sampling.number(sampling.arrivals(more), one).collect()} == {"X": 0, "Y": 1, "Z": 2, "W": 3, "V": 4, "LATE": 5}
+    assert {r.id: r.seq_no for r in sampling.delivered(more).collect()} == {"Y": 0, "X": 1, "Z": 2, "W": 3, "V": 4, "LATE": 5}
+    hashed = [(f"h{i}", 1, (i * 0x9E3779B97F4A7C15 + 7) % 2**64 - 2**63) for i in range(500)]
+    got = {r.id: r.seq_no for r in sampling.number(sampling.arrivals(spark.createDataFrame(hashed, rows).repartition(6))).collect()}
+    assert got == {h[0].upper(): i for i, h in enumerate(sorted(hashed, key=lambda h: h[2]))}
 
 
 def test_ids_equal_the_library(spark):
@@ -183,6 +197,49 @@ def test_checksums():
     assert pii.mod97("1234567" + f"{97 - 1234567 % 97:02d}")
 
 
+def test_descent_finds_neighbours_by_itself(spark):
+    # No block contracts, and the table is far larger than a bucket.
+    rng = np.random.default_rng(11)
+    base = np.repeat(rng.standard_normal((150, 64)), 20, axis=0)
+    x = base + 0.25 * rng.standard_normal(base.shape)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "faiss_id bigint, embedding array<float>").repartition(5)
+    nodes = clusters.contract_blocks(frame, "faiss_id", "embedding", clusters.THRESHOLD, 1)
+    lists = clusters.neighbour_descent(nodes, Scratch(spark, "descent"), bucket=128)
+    got = {}
+    for r in lists.collect():
+        got.setdefault(r.src, set()).add(r.dst)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = wanted = 0
+    for q in range(0, len(x), 20):
+        sims = unit @ unit[q]
+        sims[q] = -1
+        near = np.argsort(-sims)[: clusters.NEIGHBOURS]
+        near = near[sims[near] >= clusters.THRESHOLD]
+        found, wanted = found + len(got.get(q, set()) & set(near.tolist())), wanted + len(near)
+    assert wanted > 500 and found / wanted >= 0.9
+
+
+def test_clusters_do_not_depend_on_the_layout(spark):
+    rows, truth = vectors(9, [250, 60, 20, 5] + [3] * 40)
+    frame = spark.createDataFrame([(i, e, "Abies alba") for i, e in rows], "faiss_id bigint, embedding array<float>, species string")
+    runs = []
+    for parts in (1, 4, 7):
+        laid = frame.repartition(parts)
+        found = clusters.cluster(laid, block=50)
+        assert {r.id: r.cluster_id for r in found.collect()} == truth
+        runs.append(sorted((r.cluster_id, tuple(r.typical_ids), r.n_members) for r in clusters.describe(found, laid).collect()))
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_communities_by_modularity(spark):
+    # Two tight groups joined by one link stay apart at resolution 1 and are one component at 0.
+    links = [(a, b, 1.0) for g in (0, 10) for a in range(g, g + 6) for b in range(a + 1, g + 6)] + [(5, 10, 0.9)]
+    frame = spark.createDataFrame(links, "a bigint, b bigint, w double")
+    sets = lambda r: {r_.id: r_.label for r_ in clusters.communities(frame, Scratch(spark, "c"), r).collect()}
+    assert sets(1.0) == {**dict.fromkeys(range(6), 0), **dict.fromkeys(range(10, 16), 10)}
+    assert set(sets(0.0).values()) == {0}
+
+
 def test_bucketings_keep_the_bound():
     agree = 1 - np.arccos(clusters.THRESHOLD) / np.pi
     for n in (1, 1_000, 15_000, 150_000, 2_000_000, 10**9):
