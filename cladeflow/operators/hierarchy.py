@@ -10,8 +10,9 @@ Rounds grow with the logarithm of the depth, and no tree is gathered anywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cladeflow.session import Scratch
 
@@ -39,20 +40,13 @@ def _splits(tree: Column, node: Column, every: int) -> Column:
     return F.pmod(F.xxhash64(tree, node, F.lit(97)), F.lit(every)) == 0
 
 
-class _Solved:
-    """States of all nodes: what ``walk`` and ``reduce`` leave behind."""
-
-    def __init__(self, nodes, stops, looped, cycle_nodes, scratch):
-        self.nodes, self.stops, self.looped, self.cycle_nodes, self.scratch = nodes, stops, looped, cycle_nodes, scratch
-
-
 def _image(active: DataFrame, scratch: Scratch) -> DataFrame:
     """Nodes on cycles, of (tree, node_id, ptr) rows that all lead into one.
 
     The images of ever more steps shrink to exactly the cycles' nodes; when
     doubling the steps doesn't shrink the image, it is those.
     """
-    size = -1
+    size, kept = -1, None
     while True:
         image = active.select("tree", F.col("ptr").alias("node_id")).distinct()
         now = image.count()
@@ -61,100 +55,123 @@ def _image(active: DataFrame, scratch: Scratch) -> DataFrame:
         size = now
         ahead = active.select("tree", F.col("node_id").alias("ptr"), F.col("ptr").alias("ptr2"))
         jumped = active.join(ahead, ["tree", "ptr"]).select("tree", "node_id", F.col("ptr2").alias("ptr"))
-        active, old = scratch.keep(jumped), active
-        scratch.drop(old)
+        active = scratch.keep(jumped)
+        if kept is not None:
+            scratch.drop(kept)
+        kept = active
+
+
+class _Parts:
+    """Rows of many rounds: those done stay where they were written, only the open ones are written anew."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.done_paths, self.open_path, self.n_open, self.schema = scratch, [], None, 0, None
+
+    def add(self, rows: DataFrame) -> None:
+        """Takes the rows (with a column ``done``) of a round, in one job; they replace all open ones."""
+        seen = Observation()
+        path = f"{self.scratch.root}/parts-{self.scratch.count}"
+        self.scratch.count += 1
+        watched = rows.observe(seen, F.count_if("done").alias("n_done"), F.count_if(~F.col("done")).alias("n_open"))
+        watched.write.partitionBy("done").parquet(path)
+        if self.open_path:
+            self.scratch.remove(self.open_path)
+        self.schema = StructType([f for f in rows.schema.fields if f.name != "done"])
+        self.n_open = seen.get["n_open"]
+        self.open_path = f"{path}/done=false" if self.n_open else None
+        if seen.get["n_done"]:
+            self.done_paths.append(f"{path}/done=true")
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        spark = self.scratch.spark
+        return self.scratch.read(self.schema, *paths) if paths else spark.createDataFrame([], self.schema)
+
+    def done(self) -> DataFrame:
+        return self._read(self.done_paths)
+
+    def open(self) -> DataFrame:
+        return self._read([self.open_path] if self.open_path else [])
+
+    def every(self) -> DataFrame:
+        return self.done().withColumn("done", F.lit(True)).unionByName(self.open().withColumn("done", F.lit(False)))
+
+    def jump(self) -> None:
+        """Pointer jumping until all rows are done, or none became so in a round.
+
+        Distances along a way are contiguous: who hasn't arrived by then never will.
+        """
+        carried = [f.name for f in self.schema.fields if f.name not in ("tree", "node_id")]
+        while self.n_open:
+            before = self.n_open
+            ahead = self.every().select("tree", F.col("node_id").alias("ptr"), *[F.col(c).alias(f"{c}_2") for c in [*carried, "done"]])
+            grown = {"ptr": F.col("ptr_2"), "steps": F.col("steps") + F.col("steps_2"), "fate": F.col("fate_2")}
+            if "seg" in carried:
+                grown["seg"] = F.concat("seg", "seg_2")
+            self.add(self.open().join(ahead, ["tree", "ptr"]).select(*KEY, *[grown[c].alias(c) for c in carried], F.col("done_2").alias("done")))
+            if self.n_open == before:
+                return
 
 
-def _solve(rows: DataFrame, every: int) -> _Solved:
-    scratch = Scratch(rows.sparkSession, "hierarchy")
-    base = scratch.keep(distinct_nodes(rows))
-    ids = base.select("tree", F.col("node_id").alias("parent_id"), F.lit(True).alias("found"))
-    nodes = scratch.keep(
-        base.join(ids, ["tree", "parent_id"], "left").select(
-            *KEY,
-            "parent_id",
-            F.when(F.col("parent_id").isNull(), "root").when(F.col("found"), "inner").otherwise("lost").alias("kind"),
-        )
-    )
-    # Walk: state (ptr, seg) of each inner node; ptr is the last id of seg, done once it is a stop.
-    ends = nodes.where("kind != 'inner'").select("tree", F.col("node_id").alias("ptr"), F.lit(True).alias("end"))
-    state = scratch.keep(
-        nodes.where("kind = 'inner'")
-        .select(*KEY, F.col("parent_id").alias("ptr"))
-        .join(ends, ["tree", "ptr"], "left")
-        .select(
+class _Solved:
+    """What is known of all nodes.
+
+    ``walked`` has (tree, node_id, ptr, steps, fate[, seg]) of each node that
+    reaches a stop, with a fate if that is an end; ends point at themselves.
+    ``reduced`` has the same of splitters that reach an end, ``unsolved`` of
+    those that don't; ``looped`` are nodes whose way meets no stop.
+    """
+
+    def __init__(self, walked, reduced, unsolved, looped, cycle_nodes, scratch):
+        self.walked, self.reduced, self.unsolved, self.looped, self.cycle_nodes, self.scratch = walked, reduced, unsolved, looped, cycle_nodes, scratch
+
+
+def _walk(nodes: DataFrame, every: int, scratch: Scratch, segments: bool) -> _Parts:
+    """Ways of (tree, node_id, parent_id, fate) rows to the next stop; rows with a fate are ends."""
+    inner = F.col("fate").isNull()
+    seg = [F.when(inner, F.array("parent_id")).otherwise(F.array().cast("array<bigint>")).alias("seg")] if segments else []
+    parts = _Parts(scratch)
+    parts.add(
+        nodes.select(
             *KEY,
-            "ptr",
-            F.array("ptr").alias("seg"),
-            (F.coalesce("end", F.lit(False)) | _splits(F.col("tree"), F.col("ptr"), every)).alias("done"),
+            F.when(inner, F.col("parent_id")).otherwise(F.col("node_id")).alias("ptr"),
+            F.when(inner, 1).otherwise(0).cast("bigint").alias("steps"),
+            "fate",
+            *seg,
+            (~inner | _splits(F.col("tree"), F.col("parent_id"), every)).alias("done"),
         )
     )
-    waiting = state.where("NOT done").count()
-    while waiting:
-        ahead = state.select(
-            "tree",
-            F.col("node_id").alias("ptr"),
-            F.col("ptr").alias("ptr2"),
-            F.col("seg").alias("seg2"),
-            F.col("done").alias("done2"),
-        )
-        jumped = (
-            state.where("NOT done")
-            .join(ahead, ["tree", "ptr"])
-            .select(*KEY, F.col("ptr2").alias("ptr"), F.concat("seg", "seg2").alias("seg"), F.col("done2").alias("done"))
-        )
-        following = scratch.keep(state.where("done").unionByName(jumped))
-        left = following.where("NOT done").count()
-        scratch.drop(state)
-        state = following
-        if left == waiting:  # distances along a walk are contiguous: who hasn't arrived by now never will
-            break
-        waiting = left
-    looped = state.where("NOT done").select(*KEY, "ptr")
-    cycle_nodes = _image(scratch.keep(looped), scratch) if waiting else looped.select(*KEY)
-    walked = state.where("done")
-
-    # The graph of stops: ends solve themselves, splitters jump on.
-    solved = nodes.where("kind != 'inner'").select(
-        *KEY, F.col("node_id").alias("ptr"), F.lit(0).cast("bigint").alias("dist"), F.col("kind").alias("fate")
-    )
-    # A splitter that walks into a cycle without splitters is an end as well.
-    stray = looped.where(_splits(F.col("tree"), F.col("node_id"), every)).select(
-        *KEY, "ptr", F.lit(0).cast("bigint").alias("dist"), F.lit("below_cycle").alias("fate")
-    )
-    solved = solved.unionByName(stray)
-    looped = looped.where(~_splits(F.col("tree"), F.col("node_id"), every))
-    reduced = scratch.keep(
-        walked.where(_splits(F.col("tree"), F.col("node_id"), every))
-        .select(*KEY, "ptr", F.size("seg").cast("bigint").alias("dist"), F.lit(None).cast("string").alias("fate"))
-        .unionByName(solved)
-    )
-    waiting = reduced.where("fate IS NULL").count()
-    while waiting:
-        ahead = reduced.select(
-            "tree",
-            F.col("node_id").alias("ptr"),
-            F.col("ptr").alias("ptr2"),
-            F.col("dist").alias("dist2"),
-            F.col("fate").alias("fate2"),
-        )
-        jumped = (
-            reduced.where("fate IS NULL")
-            .join(ahead, ["tree", "ptr"])
-            .select(*KEY, F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("fate2").alias("fate"))
-        )
-        following = scratch.keep(reduced.where("fate IS NOT NULL").unionByName(jumped))
-        left = following.where("fate IS NULL").count()
-        scratch.drop(reduced)
-        reduced = following
-        if left == waiting:
-            break
-        waiting = left
-    if waiting:
-        on = _image(scratch.keep(reduced.where("fate IS NULL").select(*KEY, "ptr")), scratch)
-        segments = walked.join(on, KEY, "left_semi").select("tree", F.explode("seg").alias("node_id"))
-        cycle_nodes = cycle_nodes.unionByName(segments).distinct()
-    return _Solved(nodes, (walked, reduced), looped, cycle_nodes, scratch)
+    parts.jump()
+    return parts
+
+
+def _solve(rows: DataFrame, every: int, segments: bool = False) -> _Solved:
+    scratch = Scratch(rows.sparkSession, "hierarchy")
+    base = scratch.keep(distinct_nodes(rows))
+    ids = base.select("tree", F.col("node_id").alias("parent_id"), F.lit(True).alias("found"))
+    fate = F.when(F.col("parent_id").isNull(), "root").when(F.col("found").isNull(), "lost")
+    walk = _walk(base.join(ids, ["tree", "parent_id"], "left").select(*KEY, "parent_id", fate.alias("fate")), every, scratch, segments)
+    walked = walk.done()
+    looped = walk.open().select(*KEY, "ptr")
+    none = rows.sparkSession.createDataFrame([], base.select(*KEY).schema)
+    cycle_nodes = _image(looped, scratch) if walk.n_open else none
+
+    # The graph of splitters alone; one that walks into a cycle without splitters is an end as well.
+    split = _splits(F.col("tree"), F.col("node_id"), every)
+    own = walked.where(split).select(*KEY, "ptr", "steps", "fate")
+    if walk.n_open:
+        own = own.unionByName(looped.where(split).select(*KEY, "ptr", F.lit(0).cast("bigint").alias("steps"), F.lit("below_cycle").alias("fate")))
+        looped = looped.where(~split)
+    graph = _Parts(scratch)
+    graph.add(own.withColumn("done", F.col("fate").isNotNull()))
+    graph.jump()
+    if graph.n_open:
+        on = scratch.keep(_image(graph.open().select(*KEY, "ptr"), scratch))
+        # Ways between the splitters of cycles, with all their nodes.
+        near = walked.join(on.select("tree", F.col("node_id").alias("ptr")), ["tree", "ptr"], "left_semi").select(*KEY)
+        between = _walk(base.join(near, KEY, "left_semi").withColumn("fate", F.lit(None).cast("string")), every, scratch, True)
+        members = between.done().join(on, KEY, "left_semi").select("tree", F.explode("seg").alias("node_id"))
+        cycle_nodes = cycle_nodes.unionByName(members).distinct()
+    return _Solved(walked, graph.done(), graph.open(), looped, cycle_nodes, scratch)
 
 
 def hierarchy_status(rows: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
@@ -167,19 +184,17 @@ def hierarchy_status(rows: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
     beyond tree, node_id, parent_id and written_at are ignored.
     """
     s = _solve(rows, every)
-    walked, reduced = s.stops
-    own = reduced.select(*KEY, F.col("ptr").alias("end_id"), F.col("dist").alias("depth"), "fate")
-    via = own.select("tree", F.col("node_id").alias("ptr"), "end_id", F.col("depth").alias("rest"), "fate")
-    others = (
-        walked.where(~_splits(F.col("tree"), F.col("node_id"), every))
-        .select(*KEY, "ptr", F.size("seg").cast("bigint").alias("steps"))
-        .join(via, ["tree", "ptr"])
-        .select(*KEY, "end_id", (F.col("steps") + F.col("rest")).alias("depth"), "fate")
-    )
-    loops = s.looped.select(
-        *KEY, F.lit(None).cast("bigint").alias("end_id"), F.lit(None).cast("bigint").alias("depth"), F.lit(None).cast("string").alias("fate")
-    )
-    everyone = own.unionByName(others).unionByName(loops)
+    split = _splits(F.col("tree"), F.col("node_id"), every)
+    columns = [*KEY, F.col("ptr").alias("end_id"), F.col("steps").alias("depth"), "fate"]
+    via = s.reduced.unionByName(s.unsolved).select("tree", F.col("node_id").alias("ptr"), F.col("ptr").alias("end_id"), F.col("steps").alias("rest"), "fate")
+    others = s.walked.where(~split & F.col("fate").isNull()).drop("fate").join(via, ["tree", "ptr"]).select(*KEY, "end_id", (F.col("steps") + F.col("rest")).alias("depth"), "fate")
+    lost = s.looped.select(*KEY, F.col("ptr").alias("end_id"), F.lit(None).cast("bigint").alias("depth"), F.lit(None).cast("string").alias("fate"))
+    everyone = (
+        s.walked.where(~split & F.col("fate").isNotNull()).select(*columns)
+        .unionByName(s.reduced.unionByName(s.unsolved).select(*columns))
+        .unionByName(others)
+        .unionByName(lost)
+    )
     marked = everyone.join(s.cycle_nodes.withColumn("on_cycle", F.lit(True)), KEY, "left")
     rooted = F.col("fate") == "root"
     return marked.select(
@@ -205,39 +220,25 @@ def hierarchy_paths(rows: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
     Paths of the splitters are joined end to end by doubling; every other node
     puts its own segment before the path of its next splitter.
     """
-    s = _solve(rows, every)
-    walked, reduced = s.stops
-    rooted = reduced.where("fate = 'root'").select(*KEY)
-    ends = s.nodes.where("kind = 'root'").select(
-        *KEY, F.col("node_id").alias("ptr"), F.array().cast("array<bigint>").alias("up"), F.lit(True).alias("full")
-    )
-    paths = s.scratch.keep(
-        walked.where(_splits(F.col("tree"), F.col("node_id"), every))
-        .join(rooted, KEY, "left_semi")
-        .select(*KEY, "ptr", F.col("seg").alias("up"), F.lit(False).alias("full"))
-        .unionByName(ends)
-    )
-    while paths.where("NOT full").limit(1).count():
-        ahead = paths.select("tree", F.col("node_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("up").alias("up2"), F.col("full").alias("full2"))
-        jumped = (
-            paths.where("NOT full")
-            .join(ahead, ["tree", "ptr"])
-            .select(*KEY, F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"), F.col("full2").alias("full"))
-        )
-        following = s.scratch.keep(paths.where("full").unionByName(jumped))
-        s.scratch.drop(paths)
-        paths = following
-    via = paths.select("tree", F.col("node_id").alias("ptr"), F.col("up").alias("rest"))
-    others = (
-        walked.where(~_splits(F.col("tree"), F.col("node_id"), every))
-        .join(via, ["tree", "ptr"])
-        .select(*KEY, F.concat("seg", "rest").alias("up"))
-    )
-    return paths.select(*KEY, "up").unionByName(others).select(
+    s = _solve(rows, every, segments=True)
+    split = _splits(F.col("tree"), F.col("node_id"), every)
+    rooted = s.reduced.where("fate = 'root'").select(*KEY)
+    graph = _Parts(s.scratch)
+    own = s.walked.where(split).join(rooted, KEY, "left_semi")
+    graph.add(own.withColumn("done", F.col("fate").isNotNull()))
+    graph.jump()
+    via = graph.done().select("tree", F.col("node_id").alias("ptr"), F.col("seg").alias("rest"))
+    others = s.walked.where(~split)
+    whole = (
+        graph.done().select(*KEY, "seg")
+        .unionByName(others.where("fate = 'root'").select(*KEY, "seg"))
+        .unionByName(others.where("fate IS NULL").join(via, ["tree", "ptr"]).select(*KEY, F.concat("seg", "rest").alias("seg")))
+    )
+    return whole.select(
         *KEY,
-        F.coalesce(F.try_element_at("up", F.lit(-1)), F.col("node_id")).alias("root_id"),
-        F.size("up").cast("bigint").alias("depth"),
-        F.concat(F.reverse("up"), F.array("node_id")).alias("path"),
+        F.coalesce(F.try_element_at("seg", F.lit(-1)), F.col("node_id")).alias("root_id"),
+        F.size("seg").cast("bigint").alias("depth"),
+        F.concat(F.reverse("seg"), F.array("node_id")).alias("path"),
     )
 
 

@@ -52,8 +52,9 @@ def key_quantiles(
     ``rows`` other than those named in the expressions don't matter.
 
     The table of still open bins has a row per key and open rank. It is
-    broadcast only while it has at most ``broadcast_rows`` rows; beyond that it
-    is joined by shuffle with both sides salted, so that no key stays in one task.
+    broadcast only while it has at most ``broadcast_rows`` rows; beyond that the
+    rows are counted by value first and joined by shuffle salted by the value, so
+    that neither a hot key nor a hot value of it stays in one task.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "key-quantiles")
@@ -90,18 +91,17 @@ def key_quantiles(
         n_open = open_bins.count()
         inside = (F.col("value") >= F.col("base")) & (F.col("value") < F.col("base") + F.lit(width))
         if n_open <= broadcast_rows:
-            hit = long.join(F.broadcast(open_bins), ["field_name", "key_text"]).where(inside)
+            hit = long.withColumn("c", F.lit(1)).join(F.broadcast(open_bins), ["field_name", "key_text"]).where(inside)
         else:
             salted = open_bins.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            counted_once = long.groupBy("field_name", "key_text", "value").agg(F.count(F.lit(1)).alias("c"))
             hit = (
-                long.withColumn("salt", F.pmod(F.hash("value"), F.lit(SALTS)))
+                counted_once.withColumn("salt", F.pmod(F.hash("value"), F.lit(SALTS)))
                 .join(salted, ["field_name", "key_text", "salt"])
                 .where(inside)
             )
         lo = F.col("value") - (F.col("value") - F.col("base")) % F.lit(finer)
-        counted = hit.groupBy("field_name", "key_text", "base", lo.cast("bigint").alias("lo")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
+        counted = hit.groupBy("field_name", "key_text", "base", lo.cast("bigint").alias("lo")).agg(F.sum("c").alias("n"))
         wanted = targets.select("field_name", "key_text", "slot", F.col("lo").alias("base"), "rank")
         located = (
             _cumulated(counted)

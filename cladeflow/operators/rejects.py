@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.text import blank_clean
+from cladeflow.functions.vectors import bind
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a cell must be after blank cleaning: of a pattern, castable to a type, or both; a missing cell is sound."""
+
+    cell: str
+    pattern: str | None = None
+    cast: str | None = None
+
+    def fails(self, cell: Column) -> Column:
+        text = blank_clean(cell)
+        bad = F.lit(False)
+        if self.pattern:
+            bad = bad | ~text.rlike(self.pattern)
+        if self.cast:
+            bad = bad | text.try_cast(self.cast).isNull()
+        return F.coalesce(text.isNotNull() & bad, F.lit(False))
+
 
 # The cells of a dump line, and what its checked cells must look like.
 DUMP_COLUMNS = (
@@ -16,6 +37,7 @@ DUMP_COLUMNS = (
 )
 BIN_RULE = r"^(?i:BOLD):[A-Za-z]{3}[0-9]{4}$"
 SPECIES_RULE = r"^[A-Z][a-z]{2,}( [A-Za-z0-9.\-]+){1,5}$"
+DUMP_RULES = (Rule("bin_uri", BIN_RULE), Rule("species", SPECIES_RULE))
 
 
 def split_cells(line: Column, width: int) -> Column:
@@ -24,7 +46,7 @@ def split_cells(line: Column, width: int) -> Column:
     A cell that begins with a double quote runs to the next one that isn't
     doubled, tabs included; anything but a tab or the end behind that, or no
     such quote, breaks the line. Quotes elsewhere are ordinary. At most
-    ``width`` + 1 cells are kept, all are counted. A fold over the pieces
+    ``width`` + 1 cells are kept, all are counted, an open one too. A fold over the pieces
     between tabs, so that cells of any length need no backtracking.
     """
     pieces = F.split(line, "\t", -1)
@@ -62,44 +84,43 @@ def split_cells(line: Column, width: int) -> Column:
         start,
         step,
         lambda acc: F.struct(
-            acc["cells"].alias("cells"), acc["n_cells"].alias("n_cells"), (acc["broken"] | acc["held"].isNotNull()).alias("broken")
+            acc["cells"].alias("cells"), (acc["n_cells"] + acc["held"].isNotNull().cast("int")).alias("n_cells"), (acc["broken"] | acc["held"].isNotNull()).alias("broken")
         ),
     )
     simple = F.struct(pieces.alias("cells"), F.size(pieces).alias("n_cells"), F.lit(False).alias("broken"))
     return F.when(line.startswith('"') | line.contains('\t"'), folded).otherwise(simple)
 
 
-def parse_lines(lines: DataFrame, columns: Sequence[str] = DUMP_COLUMNS) -> DataFrame:
-    """Each line with its cells as nullable text and ``errors``, the failed rules in order.
+def parse_lines(lines: DataFrame, columns: Sequence[str] = DUMP_COLUMNS, rules: Sequence[Rule] = DUMP_RULES) -> DataFrame:
+    """Each line with its cells as nullable text and ``errors``, an array of (reason, cell) of all that fails.
 
-    Rules: ``quoting``, ``columns`` (not as many cells as ``columns``), then
-    ``value`` for the cells ``bin_uri`` and ``species`` after blank cleaning;
-    missing ones are sound. One carriage return at the end isn't part of the
-    line. A null line has no cells, so it fails by ``columns``; an empty line is
-    one empty cell. Input columns other than line_no, source_file and raw_line
-    are dropped, so none can clash with a cell's name.
+    In order: ``quoting``, ``columns`` (not as many cells as ``columns``), and
+    ``value`` with the cell's name for each rule that fails, which is asked only
+    where the number of cells is right. One carriage return at the end isn't
+    part of the line. A null line has no cells, so it fails by ``columns``; an
+    empty line is one empty cell. Cells of failed quoting or columns are null.
+    Input columns other than line_no, source_file and raw_line are dropped, so
+    none can clash with a cell's name. A generator binds the split line once,
+    so neither cells nor filters on ``errors`` split it again.
     """
     line = F.coalesce(F.regexp_replace("raw_line", r"\r\z", ""), F.lit(""))
     names = list(columns)
-    parsed = lines.select("line_no", "source_file", "raw_line", split_cells(line, len(names)).alias("_p"))
-    fits = (F.col("_p.n_cells") == len(names)) & F.col("raw_line").isNotNull() & ~F.col("_p.broken")
-    cell = {name: F.when(fits, F.try_element_at(F.col("_p.cells"), F.lit(i + 1))) for i, name in enumerate(names)}
-    bad_value = F.lit(False)
-    for name, rule in (("bin_uri", BIN_RULE), ("species", SPECIES_RULE)):
-        if name in cell:
-            bad_value = bad_value | ~F.coalesce(blank_clean(cell[name]).rlike(rule), F.lit(True))
-    failed = F.array(
-        F.when(F.col("_p.broken"), F.lit("quoting")),
-        F.when(~F.col("_p.broken") & ~fits, F.lit("columns")),
-        F.when(fits & bad_value, F.lit("value")),
-    )
-    return parsed.select(
-        "line_no",
-        "source_file",
-        "raw_line",
-        *[c.alias(f"cell_{n}") for n, c in cell.items()],
-        F.filter(failed, lambda e: e.isNotNull()).alias("errors"),
-    )
+
+    def checked(p: Column) -> Column:
+        fits = (p["n_cells"] == len(names)) & F.col("raw_line").isNotNull()
+        cell = {name: F.try_element_at(p["cells"], F.lit(i + 1)) for i, name in enumerate(names)}
+        error = lambda reason, name=None: F.struct(F.lit(reason).alias("reason"), F.lit(name).cast("string").alias("cell"))
+        failed = F.array(
+            F.when(p["broken"], error("quoting")),
+            F.when(~fits, error("columns")),
+            *[F.when(fits & r.fails(cell[r.cell]), error("value", r.cell)) for r in rules if r.cell in cell],
+        )
+        return F.struct(
+            *[F.when(fits & ~p["broken"], c).alias(f"cell_{n}") for n, c in cell.items()], F.filter(failed, lambda e: e.isNotNull()).alias("errors")
+        )
+
+    parsed = bind(line, lambda text: bind(split_cells(text, len(names)), checked))
+    return lines.select("line_no", "source_file", "raw_line", F.inline(F.array(parsed)))
 
 
 def sound_rows(parsed: DataFrame) -> DataFrame:
@@ -109,7 +130,7 @@ def sound_rows(parsed: DataFrame) -> DataFrame:
 
 
 def failed_rows(parsed: DataFrame) -> DataFrame:
-    """Lines with an error: the first reason, all reasons and the line as it came."""
+    """Lines with an error: the first reason, all reasons with their cells, and the line as it came."""
     return parsed.where(F.size("errors") > 0).select(
-        "line_no", "source_file", F.element_at("errors", 1).alias("reason"), "errors", "raw_line"
+        "line_no", "source_file", F.element_at("errors", 1)["reason"].alias("reason"), "errors", "raw_line"
     )

@@ -10,6 +10,7 @@ from cladeflow.operators import hierarchy, hotkeys, rejects
 from cladeflow.session import table
 
 SHARE = 0.02
+LENGTH_BINS = 16  # lengths of barcodes take two passes or three
 
 
 def _taxon_keys():
@@ -18,7 +19,7 @@ def _taxon_keys():
 
 def _length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "bcdm_records").select("family", "genus", "bin_uri", "nuc")
-    return hotkeys.key_quantiles(records, _taxon_keys(), F.length("nuc"))
+    return hotkeys.key_quantiles(records, _taxon_keys(), F.length("nuc"), bins=LENGTH_BINS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

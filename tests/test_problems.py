@@ -41,6 +41,12 @@ def test_quantiles_of_a_hot_key(spark):
                 assert got[k][name] == (known[max(1, math.ceil(p * len(known))) - 1] if known else None)
 
 
+def test_quantiles_of_a_hot_value(spark):
+    rows = spark.createDataFrame([("hot", 7)] * 900 + [("hot", i * 1000) for i in range(100)] + [("cold", 5)], "k string, v bigint")
+    got = {r.key_text: (r.q10, r.q95) for r in hotkeys.key_quantiles(rows, {"k": F.col("k")}, F.col("v"), (0.1, 0.95), 16, 0).collect()}
+    assert got == {"hot": (7, 49_000), "cold": (5, 5)}
+
+
 def test_quantiles_of_nothing(spark):
     rows = spark.createDataFrame([], "k string, v bigint")
     assert hotkeys.key_quantiles(rows, {"k": F.col("k")}, F.col("v")).count() == 0
@@ -126,5 +132,13 @@ def test_failing_lines(spark):
     rows = spark.createDataFrame([(k, "f", v[0], "clash") for k, v in lines.items()], "line_no bigint, source_file string, raw_line string, species string")
     parsed = rejects.parse_lines(rows)
     assert {r.line_no: r.reason for r in rejects.failed_rows(parsed).collect()} == {k: v[1] for k, v in lines.items() if v[1]}
+    errors = {r.line_no: [tuple(e) for e in r.errors] for r in rejects.failed_rows(parsed).collect()}
+    assert errors[3] == [("quoting", None)] and errors[14] == [("quoting", None)] and errors[16] == [("quoting", None), ("columns", None)]
+    both = spark.createDataFrame([(1, "f", line(bin_uri="x", species="y")), (2, "f", line(nuc="12"))], "line_no bigint, source_file string, raw_line string")
+    assert [tuple(e) for e in rejects.failed_rows(rejects.parse_lines(both)).first().errors] == [("value", "bin_uri"), ("value", "species")]
+    typed = rejects.parse_lines(both, rules=[rejects.Rule("nuc", cast="int")])
+    assert [r.line_no for r in rejects.sound_rows(typed).collect()] == [2]
+    plan = rejects.failed_rows(parsed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(") <= 1
     sound = {r.line_no: r for r in rejects.sound_rows(parsed).collect()}
     assert sound[2].notes == 'tab here "quoted" end' and sound[9].bin_uri is None and sound[15].notes == 'a\u0000"b'
