@@ -44,7 +44,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), mismatches=2)
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=2)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,12 +145,51 @@ def test_leaks_against_brute_force(spark):
     assert expected and got == expected
 
 
-def test_near_leaks(spark):
-    item = [f"a{i}" for i in range(30)]
-    changed = [w if i not in (10, 15) else "zz" for i, w in enumerate(item)]
-    docs = spark.createDataFrame([(1, " ".join(changed[5:18])), (2, " ".join(item[::2]))], "doc_id bigint, text string")
-    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, item_text string")
-    assert [tuple(r) for r in leaks.leaks(docs, items, mismatches=2).collect()] == [(1, 7, 11)]
+def edits(pattern, text):
+    """Fewest edits between a pattern and any stretch of a text."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern):
+        following = [i + 1]
+        for j, t in enumerate(text):
+            following.append(min(row[j] + (p != t), row[j + 1] + 1, following[j] + 1))
+        row = following
+    return min(row)
+
+
+def test_near_leaks_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(40)]
+    items = [(k, [rng.choice(pool) for _ in range(rng.choice([12, 13, 18]))]) for k in range(12)]
+    docs = []
+    for d in range(90):
+        part = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(part))
+            part[at : at + rng.randrange(2)] = [rng.choice(pool)] * rng.randrange(2)
+        docs.append((d, [rng.choice(pool) for _ in range(rng.randrange(4))] + part + [rng.choice(pool) for _ in range(rng.randrange(4))]))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, item_text string")
+    for most in (0, 1, 2):
+        expected = {}
+        for d, text in docs:
+            for k, item in items:
+                fewest = min((edits(item[i : i + 13], text) for i in range(len(item) - 12)), default=99)
+                if fewest <= most:
+                    expected[d, k] = 13 - fewest
+        got = {(r.doc_id, r.item_id): r.matched for r in leaks.leaks(frame, asked, most, block=5).collect()}
+        assert expected and got == expected
+
+
+def test_index_holds_every_posting(spark):
+    texts = ["a b a", "b <b " + "x" * 500 + ">c", None, "", "a"]
+    rows = leaks.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)).collect()
+    got = {}
+    for r in rows:
+        at = 0
+        for d, n in zip(r.docs, r.counts):
+            got.setdefault((r.term, d), []).extend(r.positions[at : at + n])
+            at += n
+    assert got == {("a", 0): [0, 2], ("b", 0): [1], ("b", 1): [0], ("c", 1): [1], ("a", 4): [0]}
 
 
 def test_words_of_markup():
