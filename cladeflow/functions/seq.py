@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.vectors import bind
-from cladeflow.session import Scratch
 
 # IUPAC codes with the bases they stand for, and their complements.
 IUPAC = {
@@ -66,6 +65,7 @@ def ambiguity_count(seq: Column) -> Column:
 
 
 def crop(seq: Column, start: int, end: int) -> Column:
+    """Letters from ``start`` to before ``end``; empty beyond the sequence."""
     return F.substring(seq, start + 1, end - start)
 
 
@@ -74,119 +74,164 @@ def wrap(seq: Column, width: int = 80) -> Column:
     return F.regexp_replace(seq, f"(.{{{width}}})(?!$)", "$1\n")
 
 
-def _leftmost(primer: str, mismatches: int):
-    """Vectorised search: start * 256 + mismatches of the leftmost fit at or behind a position, null if there is none."""
-    letters = [np.frombuffer(IUPAC.get(c, c).encode(), np.uint8) for c in primer.upper()]
-
-    @F.pandas_udf("bigint")
-    def search(seqs: pd.Series, after: pd.Series) -> pd.Series:
-        allowed = np.zeros((len(letters), 256), bool)
-        for i, fit in enumerate(letters):
-            allowed[i, fit] = True
-        at = np.arange(len(letters))
-        found: list[int | None] = []
-        for text, first in zip(seqs, after):
-            hit = None
-            if text is not None and len(text) - len(letters) >= first:
-                codes = np.frombuffer(text.encode("ascii", "replace"), np.uint8)[int(first) :]
-                windows = np.lib.stride_tricks.sliding_window_view(codes, len(letters))
-                misses = len(letters) - allowed[at, windows].sum(axis=1)
-                fits = np.flatnonzero(misses <= mismatches)
-                if len(fits):
-                    hit = (int(first) + int(fits[0])) * 256 + int(misses[fits[0]])
-            found.append(hit)
-        return pd.Series(found, dtype="Int64")
+def _hits(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, primer: str, mismatches: int, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, mismatches) of the leftmost best fit of each sequence at or behind ``after``; start -1 if there is none.
 
-    return search
+    The sequences lie end to end in ``codes``, so one pass per primer letter
+    counts mismatches at every place of all of them. Exact fits come first.
+    """
+    n = len(primer)
+    found, miss = np.full(len(starts), -1), np.zeros(len(starts), np.int64)
+    places = len(codes) - n + 1
+    if places <= 0:
+        return found, miss
+    missed = np.zeros(places, np.int16)
+    for k, letter in enumerate(primer.upper()):
+        fits = np.zeros(256, bool)
+        fits[np.frombuffer(IUPAC.get(letter, letter).encode(), np.uint8)] = True
+        missed += ~fits[codes[k : k + places]]
+    for most in sorted({0, mismatches}):
+        at = np.flatnonzero(missed <= most)
+        owner = np.searchsorted(starts, at, side="right") - 1
+        good = (at - starts[owner] >= after[owner]) & (at + n <= starts[owner] + lengths[owner]) & (found[owner] < 0)
+        owner, first = np.unique(owner[good], return_index=True)
+        found[owner] = at[good][first] - starts[owner]
+        miss[owner] = missed[at[good][first]]
+    return found, miss
+
+
+def primer_hits(forward: str, reverse: str, mismatches: int):
+    """A pandas UDF: struct(fs, fm, rs, rm), where the primers start and their mismatches, -1 where there is none.
+
+    The reverse primer is sought behind the forward one first, then anywhere.
+    """
+    back = reverse_complement_text(reverse)
+
+    @F.pandas_udf("struct<fs:int,fm:int,rs:int,rm:int>")
+    def search(seqs: pd.Series) -> pd.DataFrame:
+        texts = [t.encode("ascii", "replace") if t else b"" for t in seqs]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        # A sign no primer fits stands behind each sequence, so that none is empty.
+        codes = np.frombuffer(b"".join(t + b"-" for t in texts), np.uint8)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        zero = np.zeros(len(texts), np.int64)
+        fs, fm = _hits(codes, starts, lengths, forward, mismatches, zero)
+        rs, rm = np.full(len(texts), -1), zero
+        if reverse:
+            behind = np.where(fs >= 0, fs + len(forward), lengths + 1)
+            rs, rm = _hits(codes, starts, lengths, back, mismatches, behind)
+            any_rs, any_rm = _hits(codes, starts, lengths, back, mismatches, zero)
+            rs, rm = np.where(rs >= 0, rs, any_rs), np.where(rs >= 0, rm, any_rm)
+        return pd.DataFrame({"fs": fs, "fm": fm, "rs": rs, "rm": rm}).astype("int32")
 
+    return search
 
-def find_primer(seq: Column, primer: str, after: Column | None = None, mismatches: int = 0) -> Column:
-    """struct(start, end, mismatches) of a primer at or behind ``after``, null if there is none.
 
-    An exact hit anywhere is taken before one with mismatches; of those the
-    leftmost. Every position is tried, so overlapping candidates count.
-    """
+def find_primer(seq: Column, primer: str, after: Column | None = None) -> Column:
+    """struct(start, end, mismatches) of the leftmost exact fit of a primer at or behind ``after``, null if there is none."""
     after = F.lit(0) if after is None else after
     rest = seq.substr(after + 1, F.length(seq))
     at = F.regexp_instr(rest, F.lit(iupac_regex(primer)))
-    n = len(primer)
+    return F.when(at > 0, _hit(after + at - 1, len(primer), F.lit(0)))
 
-    def hit(start: Column, miss: Column) -> Column:
-        return F.struct(start.cast("int").alias("start"), (start + n).cast("int").alias("end"), miss.cast("int").alias("mismatches"))
 
-    exact = F.when(at > 0, hit(after + at - 1, F.lit(0)))
-    if mismatches <= 0:
-        return exact
-    packed = _leftmost(primer, mismatches)(F.when(exact.isNull(), seq), after)
-    return F.coalesce(exact, F.when(packed.isNotNull(), hit(F.shiftright(packed, 8), packed.bitwiseAND(F.lit(255)))))
+def _hit(start: Column, length: int, miss: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), (start + length).cast("int").alias("end"), miss.cast("int").alias("mismatches"))
 
 
-def assess_window(rows: DataFrame, cell: str, primers: Primers, mismatches: int = 0, out: str = "metrics") -> DataFrame:
-    """Adds ``out``: the window between the primers of a sequence column, and how well it is supported, as a struct.
+def window_metrics(s: Column, f: Column, r: Column, primers: Primers) -> Column:
+    """The window of a sequence between two primer hits, and how well it is supported, as a struct; null for a null sequence.
 
     primer_support, primer_mismatches, coverage_rank, window_start, window_end,
     window_length, ambiguity_count, ambiguity_fraction (1 for an empty window),
-    tiebreak_length. A null sequence gives null. Each step is a column of its
-    own, so that no step's expression is evaluated again inside the next.
+    tiebreak_length.
     """
-    keep = Scratch(rows.sparkSession, "windows").keep if mismatches > 0 else lambda df: df
-    s, f, r, w = F.col(cell), F.col("_f"), F.col("_r"), F.col("_w")
-    rows = keep(rows.withColumn("_f", find_primer(s, primers.forward, mismatches=mismatches)))
-    if primers.reverse:
-        back = reverse_complement_text(primers.reverse)
-        behind = F.coalesce(f["end"], F.length(s) + 1)
-        rows = keep(rows.withColumn("_b", find_primer(s, back, behind, mismatches)))
-        rows = keep(rows.withColumn("_c", find_primer(s, back, mismatches=mismatches)))
-        rows = rows.withColumn("_r", F.coalesce("_b", "_c")).drop("_b", "_c")
-    else:
-        rows = rows.withColumn("_r", F.lit(None).cast("struct<start:int,end:int,mismatches:int>"))
-    both = f.isNotNull() & r.isNotNull() & (r["start"] > f["end"])
-    rows = rows.withColumn(
-        "_w",
-        F.when(both, F.struct(F.lit("both").alias("support"), (f["mismatches"] + r["mismatches"]).alias("miss"), f["end"].alias("start"), r["start"].alias("end")))
-        .when(f.isNotNull(), F.struct(F.lit("forward_only").alias("support"), f["mismatches"].alias("miss"), f["end"].alias("start"), F.length(s).alias("end")))
-        .when(r.isNotNull(), F.struct(F.lit("reverse_only").alias("support"), r["mismatches"].alias("miss"), F.lit(0).alias("start"), r["start"].alias("end")))
-        .otherwise(F.struct(F.lit("none").alias("support"), F.lit(0).alias("miss"), F.lit(0).alias("start"), F.length(s).alias("end"))),
+    window = lambda support, miss, start, end: F.struct(F.lit(support).alias("support"), miss.alias("miss"), start.alias("start"), end.alias("end"))
+    start, end = F.lit(0), F.length(s)
+    placed = (
+        F.when(f.isNotNull() & r.isNotNull() & (r["start"] > f["end"]), window("both", f["mismatches"] + r["mismatches"], f["end"], r["start"]))
+        .when(f.isNotNull(), window("forward_only", f["mismatches"], f["end"], end))
+        .when(r.isNotNull(), window("reverse_only", r["mismatches"], start, r["start"]))
+        .otherwise(window("none", F.lit(0), start, end))
     )
-    rows = rows.withColumn("_d", ambiguity_count(s.substr(w["start"] + 1, w["end"] - w["start"])))
-    support, length = w["support"], w["end"] - w["start"]
-    plausible = length.between(primers.shortest, primers.longest)
-    if primers.reverse:
-        rank = F.when((support == "both") & plausible, 0).when(support == "both", 1).when(support != "none", 2).otherwise(3)
+
+    def measured(w: Column, ambiguous: Column) -> Column:
+        support, length = w["support"], w["end"] - w["start"]
+        plausible = length.between(primers.shortest, primers.longest)
+        if primers.reverse:
+            rank = F.when((support == "both") & plausible, 0).when(support == "both", 1).when(support != "none", 2).otherwise(3)
+        else:
+            rank = F.when((support == "forward_only") & plausible, 0).when(support == "forward_only", 1).otherwise(3)
+        return F.struct(
+            support.alias("primer_support"),
+            w["miss"].alias("primer_mismatches"),
+            rank.alias("coverage_rank"),
+            w["start"].alias("window_start"),
+            w["end"].alias("window_end"),
+            length.alias("window_length"),
+            ambiguous.alias("ambiguity_count"),
+            F.when(length > 0, ambiguous / length).otherwise(F.lit(1.0)).alias("ambiguity_fraction"),
+            F.when(support == "none", -length).otherwise(F.abs(length - primers.target)).alias("tiebreak_length"),
+        )
+
+    counted = bind(placed, lambda w: bind(ambiguity_count(s.substr(w["start"] + 1, w["end"] - w["start"])), lambda d: measured(w, d)))
+    return F.when(s.isNotNull(), counted)
+
+
+def assess_window(rows: DataFrame, cell: str, primers: Primers, mismatches: int = 0, out: str = "metrics") -> DataFrame:
+    """Adds ``out``: ``window_metrics`` of a sequence column between the primers of a set.
+
+    Of fits an exact one anywhere is taken before one with mismatches, then the
+    leftmost; the reverse primer is sought behind the forward one first. Every
+    step is bound once and a generator closes the row, so that no expression is
+    evaluated again by its uses.
+    """
+    others = [c for c in rows.columns if c != cell]
+
+    def closed(s: Column, metrics: Column) -> Column:
+        return F.struct(s.alias(cell), metrics.alias(out))
+
+    if mismatches > 0:
+        hits = F.col("_h")
+        rows = rows.withColumn("_h", primer_hits(primers.forward, primers.reverse, mismatches)(F.col(cell)))
+        f = F.when(hits["fs"] >= 0, _hit(hits["fs"], len(primers.forward), hits["fm"]))
+        r = F.when(hits["rs"] >= 0, _hit(hits["rs"], len(primers.reverse), hits["rm"]))
+        parsed = bind(F.col(cell), lambda s: bind(f, lambda a: bind(r, lambda b: closed(s, window_metrics(s, a, b, primers)))))
     else:
-        rank = F.when((support == "forward_only") & plausible, 0).when(support == "forward_only", 1).otherwise(3)
-    metrics = F.struct(
-        support.alias("primer_support"),
-        w["miss"].alias("primer_mismatches"),
-        rank.alias("coverage_rank"),
-        w["start"].alias("window_start"),
-        w["end"].alias("window_end"),
-        length.alias("window_length"),
-        F.col("_d").alias("ambiguity_count"),
-        F.when(length > 0, F.col("_d") / length).otherwise(F.lit(1.0)).alias("ambiguity_fraction"),
-        F.when(support == "none", -length).otherwise(F.abs(length - primers.target)).alias("tiebreak_length"),
-    )
-    return rows.withColumn(out, F.when(s.isNotNull(), metrics)).drop("_f", "_r", "_w", "_d")
+
+        def backward(s: Column, f: Column) -> Column:
+            if not primers.reverse:
+                return F.lit(None).cast("struct<start:int,end:int,mismatches:int>")
+            back = reverse_complement_text(primers.reverse)
+            return F.coalesce(find_primer(s, back, F.coalesce(f["end"], F.length(s) + 1)), find_primer(s, back))
+
+        parsed = bind(F.col(cell), lambda s: bind(find_primer(s, primers.forward), lambda f: bind(backward(s, f), lambda r: closed(s, window_metrics(s, f, r, primers)))))
+    return rows.select(*others, F.inline(F.array(parsed)))
 
 
 def site_counts(a: Column, b: Column) -> Column:
     """struct(sites, ts, tv): compared sites, transitions and transversions of two aligned sequences.
 
-    Sites where either isn't one of ACGT are left out; the longer one's tail too.
+    Sites where either isn't one of ACGT are left out; the longer one's tail
+    too. A null sequence has no sites.
     """
-    classes = F.transform(
-        F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")),
-        lambda s: F.when(~F.coalesce(s["x"].isin(*"ACGT") & s["y"].isin(*"ACGT"), F.lit(False)), -1)
-        .when(s["x"] == s["y"], 0)
-        .when(F.concat(s["x"], s["y"]).isin("AG", "GA", "CT", "TC"), 1)
-        .otherwise(2),
-    )
-
-    def counted(all_sites: Column) -> Column:
-        count = lambda v: F.size(F.filter(all_sites, lambda c: c == v))
-        return F.struct((F.size(all_sites) - count(-1)).alias("sites"), count(1).alias("ts"), count(2).alias("tv"))
-
-    return bind(classes, counted)
+    return F.pandas_udf(_site_counts, "struct<sites:int,ts:int,tv:int>")(a, b)
+
+
+def _site_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    left, right = ([t.encode("ascii", "replace") if t else b"" for t in c] for c in (a, b))
+    lengths = np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64)
+    class_of = np.zeros(256, np.int8)
+    for code, letter in zip((1, 2, 5, 6), b"AGCT"):  # purines 1 and 2, pyrimidines 5 and 6
+        class_of[letter] = code
+    x = class_of[np.frombuffer(b"".join(t[:n] for t, n in zip(left, lengths)), np.uint8)]
+    y = class_of[np.frombuffer(b"".join(t[:n] for t, n in zip(right, lengths)), np.uint8)]
+    both = (x > 0) & (y > 0)
+    differ = both & (x != y)
+    within = (x >> 2) == (y >> 2)
+    ends = np.cumsum(lengths)
+    total = lambda mask: (sums := np.concatenate([[0], np.cumsum(mask)]))[ends] - sums[ends - lengths]
+    return pd.DataFrame({"sites": total(both), "ts": total(differ & within), "tv": total(differ & ~within)}).astype("int32")
 
 
 def distance(counts: Column, model: str, min_sites: int = 1) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import seq
 from cladeflow.functions import vectors as V
-from cladeflow.operators import nj, representations, taxonomy
+from cladeflow.operators import nj, representations, selection, taxonomy
 
 
 def test_primers_and_windows(spark):
@@ -17,8 +17,9 @@ def test_primers_and_windows(spark):
     assert (got[2].primer_support, got[2].ambiguity_fraction) == ("forward_only", 1.0)
     assert (got[3].primer_support, got[3].window_end, got[4].primer_support, got[5]) == ("reverse_only", 2, "none", None)
     assert got[6].ambiguity_fraction == 1.0
-    fuzzy = spark.createDataFrame([("TTGGTCCAA",), ("GGG",)], "s string").select(seq.find_primer(F.col("s"), "GGWAC", mismatches=1).alias("h")).collect()
-    assert (fuzzy[0].h.start, fuzzy[0].h.mismatches, fuzzy[1].h) == (2, 1, None)
+    fuzzy = seq.assess_window(spark.createDataFrame([(1, "TTGGTCCAA"), (2, "GGG"), (3, "GGTCCTTGGTACA"), (4, None)], "i int, s string"), "s", p, 1)
+    got = {r.i: r.metrics and (r.metrics.primer_support, r.metrics.window_start, r.metrics.primer_mismatches) for r in fuzzy.collect()}
+    assert got == {1: ("forward_only", 7, 1), 2: ("none", 0, 0), 3: ("forward_only", 12, 0), 4: None}
 
 
 def test_reverse_complement_and_distance(spark):
@@ -60,15 +61,57 @@ def test_vectors(spark):
     assert sorted((r.v, r.r) for r in ranks) == [(1, 1.0), (2, 2.5), (2, 2.5), (4, 4.0)]
 
 
+def test_gates(spark):
+    p = seq.Primers("t", "GGWAC", "TTCC", 4, 2, 6)
+    columns = "record_no bigint, bin_uri string, marker_code string, phylum string, nuc string"
+    good = "AAGGTACACGTGGAATT"
+    data = [
+        (1, "BOLD:AAA0001", "COI-5P", " arthropoda", good),
+        (2, "BOLD:AAA0001", "COI-5P", "Arthropoda", good),
+        (3, "n/a", "COI-5P", "Arthropoda", good),
+        (4, "BOLD:AAA0002", "COI-5P", "Arthropoda", " - "),
+        (5, "BOLD:AAA0002", "COI-5P", "Arthropoda", "123"),
+        (6, "BOLD:AAA0002", "COI-5P", "Arthropoda", "ACG"),
+        (7, "BOLD:AAA0002", "COI-5P", "Arthropoda", "NNNNGGTACACNNGGAATTNNNN"),
+        (8, "BOLD:AAA0002", "COI-5P", "Arthropoda", "AAGGTACAGGAATT"),
+        (9, "BOLD:AAA0002", "16S", "Arthropoda", good),
+        (10, "BOLD:AAA0002", "COI-5P", "Mollusca", good),
+        (11, "BOLD:AAA0003", "COI-5P", "Arthropoda", "NNNN" + good + "NNNN"),
+    ]
+    rows = spark.createDataFrame(data, columns)
+    gates = selection.Gates(*selection.parse_taxon("Phylum:ARTHROPODA"), "COI-5P", 5, 0.1, selection.parse_crop("1:3"))
+    got = {r.record_no: (r.drop_reason, r.output_sequence) for r in selection.assessed(rows, gates, p).collect()}
+    reasons = dict(zip(range(3, 9), selection.REASONS))
+    assert {k: v[0] for k, v in got.items()} == {1: None, 2: None, **reasons, 11: None}
+    # Only the window's ambiguity counts, so the letters around it don't matter.
+    assert got[1][1] == "CG" and got[11][1] == "CG"
+    best = selection.representatives(rows, gates, p)
+    assert sorted((r.bin_uri, r.record_no) for r in best.collect()) == [("BOLD:AAA0001", 1), ("BOLD:AAA0003", 11)]
+    out = selection.representative_rows(rows, best, p).collect()
+    assert [(r.record_no, r.nuc, r.selected_primer_set, r.selected_window_length) for r in out] == [(1, "CG", "t", 4), (11, "CG", "t", 4)]
+    assert selection.child_rank("subspecies") is None and selection.child_rank("family") == "subfamily"
+
+
 def test_placement(spark):
-    ranks = ("family", "genus", "species")
     data = [("t1", "F", "G", "G a")] * 2 + [("t1", "F", "G", "G b"), ("t2", "F", "G", None), ("t2", "F", "G", "G a"), ("t3", None, None, None)]
+    data += [("t4", "F", "G", "G a"), ("t4", "H", "J", "J c"), ("t4", "H", "J", "J c")]
     rows = spark.createDataFrame(data, "t string, family string, genus string, species string")
-    counts = taxonomy.lineage_counts(rows, ranks)
-    chains = taxonomy.reconciled_chains(taxonomy.canonical_parents(taxonomy.parent_votes(counts)), 3)
-    placed = taxonomy.place_terminals(taxonomy.terminal_candidates(rows, F.col("t"), chains, ranks), "lca", 0)
-    got = {r.terminal: (r.attachment[-1]["name"], r.lifted, r.suspect) for r in placed.collect()}
-    assert got == {"t1": ("G", True, False), "t2": ("G a", False, False)}
+    rows = rows.select("t", *[F.col(r) if r in rows.columns else F.lit(None).cast("string").alias(r) for r in taxonomy.RANKS])
+    observed = taxonomy.observations(rows, F.col("t"))
+    counts = observed.groupBy("path").agg(F.sum("n_records").alias("n_records"))
+    chains = taxonomy.reconciled_chains(taxonomy.canonical_parents(taxonomy.parent_votes(counts)))
+    candidates = taxonomy.terminal_candidates(observed)
+    resolved = taxonomy.resolve_candidates(candidates, chains)
+    placed = taxonomy.place_terminals(resolved, chains)
+    assert {r.terminal: (r.placed_at, r.lifted, r.suspect) for r in placed.collect()} == {"t1": ("7:G", True, False), "t2": ("8:G a", False, False), "t4": (None, True, True)}
+    by_votes = taxonomy.place_terminals(resolved, chains, "plurality")
+    assert {r.terminal: r.placed_at for r in by_votes.collect()} == {"t1": "8:G a", "t2": "8:G a", "t4": "8:J c"}
+    table = taxonomy.sidecar(candidates, placed)
+    got = {r.terminal: r for r in table.collect()}
+    assert (got["t4"].placed_at, got["t4"].lineages, got["t4"].counts, got["t4"].suspect) == ("root", "species:J c|species:G a", "2|1", "yes")
+    notes = {r.terminal: r.annotation for r in taxonomy.annotation(taxonomy.sidecar(candidates, placed, style="gtdb")).collect()}
+    assert notes["t4"] == "&rank=BIN,records=3,n_lineages=2,taxa={s__J_c,s__G_a},counts={2,1},placed_at=root,lifted=yes,suspect=yes"
+    assert taxonomy.rank_path("tax_order", "species") == ("family", "subfamily", "tribe", "genus", "species")
 
 
 def test_contract(spark):
