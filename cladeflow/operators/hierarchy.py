@@ -104,7 +104,7 @@ class _Parts:
         while self.n_open:
             before = self.n_open
             ahead = self.every().select("tree", F.col("node_id").alias("ptr"), *[F.col(c).alias(f"{c}_2") for c in [*carried, "done"]])
-            grown = {"ptr": F.col("ptr_2"), "steps": F.col("steps") + F.col("steps_2"), "fate": F.col("fate_2")}
+            grown = {"ptr": F.col("ptr_2"), "fate": F.col("fate_2")} | {c: F.col(c) + F.col(f"{c}_2") for c in carried if c == "steps" or c.startswith("sum_")}
             if "seg" in carried:
                 grown["seg"] = F.concat("seg", "seg_2")
             self.add(self.open().join(ahead, ["tree", "ptr"]).select(*KEY, *[grown[c].alias(c) for c in carried], F.col("done_2").alias("done")))
@@ -126,8 +126,9 @@ class _Solved:
 
 
 def _walk(nodes: DataFrame, every: int, scratch: Scratch, segments: bool) -> _Parts:
-    """Ways of (tree, node_id, parent_id, fate) rows to the next stop; rows with a fate are ends."""
+    """Ways of (tree, node_id, parent_id, fate, sum_…) rows to the next stop; rows with a fate are ends, sums are added up on the way."""
     inner = F.col("fate").isNull()
+    sums = [F.when(inner, F.col(c)).otherwise(F.lit(0)).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns if c.startswith("sum_")]
     seg = [F.when(inner, F.array("parent_id")).otherwise(F.array().cast("array<bigint>")).alias("seg")] if segments else []
     parts = _Parts(scratch)
     parts.add(
@@ -137,6 +138,7 @@ def _walk(nodes: DataFrame, every: int, scratch: Scratch, segments: bool) -> _Pa
             F.when(inner, 1).otherwise(0).cast("bigint").alias("steps"),
             "fate",
             *seg,
+            *sums,
             (~inner | _splits(F.col("tree"), F.col("parent_id"), every)).alias("done"),
         )
     )
@@ -144,12 +146,14 @@ def _walk(nodes: DataFrame, every: int, scratch: Scratch, segments: bool) -> _Pa
     return parts
 
 
-def _solve(rows: DataFrame, every: int, segments: bool = False) -> _Solved:
+def _solve(rows: DataFrame, every: int, segments: bool = False, edges: DataFrame | None = None) -> _Solved:
     scratch = Scratch(rows.sparkSession, "hierarchy")
-    base = scratch.keep(distinct_nodes(rows))
+    base = distinct_nodes(rows)
+    sums = [c for c in edges.columns if c.startswith("sum_")] if edges is not None else []
+    base = scratch.keep(base if edges is None else base.join(edges.select(*KEY, *sums), KEY))
     ids = base.select("tree", F.col("node_id").alias("parent_id"), F.lit(True).alias("found"))
     fate = F.when(F.col("parent_id").isNull(), "root").when(F.col("found").isNull(), "lost")
-    walk = _walk(base.join(ids, ["tree", "parent_id"], "left").select(*KEY, "parent_id", fate.alias("fate")), every, scratch, segments)
+    walk = _walk(base.join(ids, ["tree", "parent_id"], "left").select(*KEY, "parent_id", fate.alias("fate"), *sums), every, scratch, segments)
     walked = walk.done()
     looped = walk.open().select(*KEY, "ptr")
     none = rows.sparkSession.createDataFrame([], base.select(*KEY).schema)
@@ -157,9 +161,9 @@ def _solve(rows: DataFrame, every: int, segments: bool = False) -> _Solved:
 
     # The graph of splitters alone; one that walks into a cycle without splitters is an end as well.
     split = _splits(F.col("tree"), F.col("node_id"), every)
-    own = walked.where(split).select(*KEY, "ptr", "steps", "fate")
+    own = walked.where(split).select(*KEY, "ptr", "steps", "fate", *sums)
     if walk.n_open:
-        own = own.unionByName(looped.where(split).select(*KEY, "ptr", F.lit(0).cast("bigint").alias("steps"), F.lit("below_cycle").alias("fate")))
+        own = own.unionByName(looped.where(split).select(*KEY, "ptr", F.lit(0).cast("bigint").alias("steps"), F.lit("below_cycle").alias("fate"), *[F.lit(0).cast(base.schema[c].dataType).alias(c) for c in sums]))
         looped = looped.where(~split)
     graph = _Parts(scratch)
     graph.add(own.withColumn("done", F.col("fate").isNotNull()))
@@ -168,7 +172,7 @@ def _solve(rows: DataFrame, every: int, segments: bool = False) -> _Solved:
         on = scratch.keep(_image(graph.open().select(*KEY, "ptr"), scratch))
         # Ways between the splitters of cycles, with all their nodes.
         near = walked.join(on.select("tree", F.col("node_id").alias("ptr")), ["tree", "ptr"], "left_semi").select(*KEY)
-        between = _walk(base.join(near, KEY, "left_semi").withColumn("fate", F.lit(None).cast("string")), every, scratch, True)
+        between = _walk(base.join(near, KEY, "left_semi").select(*KEY, "parent_id").withColumn("fate", F.lit(None).cast("string")), every, scratch, True)
         members = between.done().join(on, KEY, "left_semi").select("tree", F.explode("seg").alias("node_id"))
         cycle_nodes = cycle_nodes.unionByName(members).distinct()
     return _Solved(walked, graph.done(), graph.open(), looped, cycle_nodes, scratch)
@@ -209,6 +213,24 @@ def hierarchy_status(rows: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
     )
 
 
+def hierarchy_sums(rows: DataFrame, edges: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
+    """(tree, node_id, root_id, depth, …) of each rooted node once, with the sums of the ``sum_`` columns of ``edges`` from the root down to it.
+
+    ``edges`` has one row per node, for the edge above it; a root's own doesn't
+    count. The sums are added while pointers jump, so no path is unfolded.
+    """
+    s = _solve(rows, every, edges=edges)
+    sums = [c for c in edges.columns if c.startswith("sum_")]
+    split = _splits(F.col("tree"), F.col("node_id"), every)
+    named = [*KEY, F.col("ptr").alias("root_id"), F.col("steps").alias("depth"), *sums]
+    ends = s.reduced.where("fate = 'root'")
+    direct = s.walked.where(~split & (F.col("fate") == "root")).select(*named)
+    via = ends.select("tree", F.col("node_id").alias("ptr"), F.col("ptr").alias("root_id"), *[F.col(c).alias(f"{c}_2") for c in ("steps", *sums)])
+    added = [(F.col("steps") + F.col("steps_2")).alias("depth"), *[(F.col(c) + F.col(f"{c}_2")).alias(c) for c in sums]]
+    others = s.walked.where(~split & F.col("fate").isNull()).join(via, ["tree", "ptr"]).select(*KEY, "root_id", *added)
+    return direct.unionByName(ends.select(*named)).unionByName(others)
+
+
 def hierarchy_faults(rows: DataFrame, every: int = SPLIT_EVERY) -> DataFrame:
     """(tree, node_id, fault) of the nodes that reach no root."""
     return hierarchy_status(rows, every).where("fate != 'rooted'").select(*KEY, F.col("fate").alias("fault"))

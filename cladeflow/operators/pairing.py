@@ -77,6 +77,23 @@ def sampled_pairs(rows: DataFrame, key: str, limit: int, seed: str = "pairs-1")
     return pairs.join(numbered, "ordinal").join(other, "ordinal_2").drop("ordinal", "ordinal_2")
 
 
+def partners(rows: DataFrame, group: str, key: str, seed: str = "partners-1") -> DataFrame:
+    """Each row with one other row of its group, drawn by a hash of seed, group and key; the other's columns end in ``_2``.
+
+    Rows of groups of one have no partner. As many pairs as rows, found by one
+    join on the position within the group.
+    """
+    scratch = Scratch(rows.sparkSession, "partners")
+    sound = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    placed, _ = ordinals(sound.withColumn("_k", F.struct(group, key)), "_k", scratch, "_o")
+    begin = placed.groupBy(group).agg(F.min("_o").alias("_begin"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    text = F.concat_ws(":", F.lit(seed), F.col(group).cast("string"), F.col(key).cast("string"))
+    step = F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), F.col("_n") - 1) + 1
+    asking = placed.join(begin, group).withColumn("_at", F.col("_begin") + (F.col("_o") - F.col("_begin") + step) % F.col("_n")).drop("_k", "_o", "_begin", "_n")
+    other = placed.select(F.col("_o").alias("_at"), *[F.col(c).alias(f"{c}_2") for c in sound.columns if c != group])
+    return asking.join(other, "_at").drop("_at")
+
+
 def sampled_rows(rows: DataFrame, key: str, limit: int, seed: str = "rows-1") -> DataFrame:
     """``limit`` rows with the least md5 of seed and key, so growing tables keep most of their sample."""
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(limit)

@@ -92,26 +92,57 @@ def knn(rows: DataFrame, key: str, vector: str, every: int, k: int, dimensions:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "rank", "similarity")
 
 
-def nearest(rows: DataFrame, key: str, vector: str, means: dict[int, list[float]]) -> DataFrame:
-    """(key, nearest): the label whose mean is most alike by cosine; ties go to the least label."""
-    labels = np.array(sorted(means), np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast((labels, np.array([means[x] for x in labels.tolist()])))
-
-    @F.pandas_udf("bigint")
-    def closest(column: pd.Series) -> pd.Series:
-        names, m = shared.value
+def _closest(shared):
+    def closest(column: pd.Series) -> pd.DataFrame:
+        names, unit = shared.value
         x = np.stack(column.to_numpy()).astype(np.float64)
-        sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
-        return pd.Series(names[np.argmax(np.round(sims, 9), axis=1)])
+        sims = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit.T, 9)
+        at = np.argmax(sims, axis=1)
+        return pd.DataFrame({"similarity": sims[np.arange(len(x)), at], "label": names[at]})
 
-    sound = rows.where(V.usable(F.col(vector), len(next(iter(means.values()), []))))
-    return sound.select(key, closest(V.doubles(F.col(vector))).alias("nearest"))
+    return closest
 
 
-def average_rank(value: Column, within: str | None = None) -> Column:
-    """Rank with ties averaged."""
-    part = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
-    return F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(part.partitionBy(*([within] if within else []), value)) - 1) / 2
+def nearest(rows: DataFrame, key: str, vector: str, means: DataFrame, dimensions: int, block: int = 10_000) -> DataFrame:
+    """(key, nearest): the label of ``means`` (label, mean) most alike by cosine; ties go to the least label.
+
+    The means are taken in blocks of at most ``block``, each broadcast in turn;
+    the best of each block meet per row. Without means there is no row.
+    """
+    sound = rows.where(V.usable(F.col(vector), dimensions)).select(key, V.doubles(F.col(vector)).alias("_v"))
+    n_blocks = max(1, -(-means.count() // block))
+    best = None
+    for b in range(n_blocks):
+        part = sorted((r.label, r.mean) for r in means.where(F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == b).collect())
+        if not part:
+            continue
+        m = np.array([x for _, x in part])
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([x for x, _ in part]), m / np.linalg.norm(m, axis=1, keepdims=True)))
+
+        hits = sound.select(key, F.pandas_udf(_closest(shared), "struct<similarity:double,label:bigint>")("_v").alias("_c")).select(key, "_c.*")
+        best = hits if best is None else best.unionByName(hits)
+    if best is None:
+        return rows.select(key, F.lit(None).cast("bigint").alias("nearest")).limit(0)
+    return best.groupBy(key).agg(F.max_by("label", F.struct("similarity", -F.col("label"))).alias("nearest"))
+
+
+def nested_centroids(rows: DataFrame, path: list[str], vector: str) -> DataFrame:
+    """(path[0], n, centroid): unit means of the lowest groups, averaged without weights and made unit again level by level up.
+
+    Rows that miss a name of the path are left out.
+    """
+    named = rows.where(F.forall(F.array(*path), lambda x: x.isNotNull()))
+    level = named.select(F.struct(*path).alias("g"), F.col(vector).alias("u"))
+    for depth in range(len(path), 0, -1):
+        means = centroids(level, "g", "u")
+        level = means.select((F.struct(*[F.col(f"g.{c}") for c in path[: depth - 1]]) if depth > 1 else F.col(f"g.{path[0]}")).alias("g"), V.unit(F.col("centroid")).alias("u")) if depth > 1 else means.select(F.col(f"g.{path[0]}").alias(path[0]), "n", V.unit(F.col("centroid")).alias("centroid"))
+    return level
+
+
+def average_rank(value: Column, *within: str) -> Column:
+    """Rank with ties averaged, per group of the columns ``within``; for groups of bounded size."""
+    part = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    return F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*within, value)) - 1) / 2
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -122,9 +153,27 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(top, F.sqrt(F.greatest(a * b, F.lit(0.0)))))
 
 
+def regression(x: Column, y: Column) -> tuple[Column, Column]:
+    """Slope and intercept of the least-squares line; null where x is constant or there are fewer than two pairs."""
+    sound = (F.count(F.lit(1)) > 1) & (F.min(x) < F.max(x))
+    return F.when(sound, F.regr_slope(y, x)), F.when(sound, F.regr_intercept(y, x))
+
+
+def undefined_reason(x: Column, y: Column) -> Column:
+    """Why correlations have no value; null where they have one."""
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    return F.when(F.count(F.lit(1)) < 2, "fewer_than_two_pairs").when(constant, "constant_distances")
+
+
 def fit_measures(target: Column, predicted: Column) -> list[Column]:
-    """Aggregates of how distances are met: stress, signed and absolute error, 90th percentile, MAPE, scale and Pearson."""
+    """Aggregates of how distances are met: stress, signed and absolute error, 90th percentile, MAPE, scale and Pearson.
+
+    The percentile is exact and holds a group's values at once, so the pairs must
+    be a bounded sample.
+    """
     e = predicted - target
+    scale = F.greatest(F.lit(0.0), F.try_divide(F.sum(target * predicted), F.sum(predicted * predicted)))
+    scaled = F.sum(target * target) - 2 * scale * F.sum(target * predicted) + scale * scale * F.sum(predicted * predicted)
     return [
         F.count(F.lit(1)).alias("n_pairs"),
         F.round(F.sqrt(F.try_divide(F.sum(e * e), F.sum(target * target))), 6).alias("stress"),
@@ -133,6 +182,50 @@ def fit_measures(target: Column, predicted: Column) -> list[Column]:
         F.round(F.percentile(F.abs(e), 0.9), 6).alias("p90_abs_error"),
         F.round(F.avg(F.when(target > 0, F.abs(e) / target)) * 100, 6).alias("mape"),
         F.count_if(target == 0).alias("n_zero_targets"),
-        F.round(F.greatest(F.lit(0.0), F.try_divide(F.sum(target * predicted), F.sum(predicted * predicted))), 6).alias("scale"),
+        F.round(scale, 6).alias("scale"),
+        F.round(F.sqrt(F.try_divide(F.greatest(F.lit(0.0), scaled), F.sum(target * target))), 6).alias("scaled_stress"),
         F.round(pearson(target, predicted), 6).alias("pearson"),
     ]
+
+
+# How two records are related, the code being the position.
+RELATIONS = ("same_species", "same_genus", "same_family", "other_family", "unknown")
+
+
+def relation(known: dict[str, tuple[Column, Column]]) -> Column:
+    """The code of RELATIONS for (left, right) names of species, genus and family, null for an unknown one; the species decides first."""
+    same = {rank: (a == b) for rank, (a, b) in known.items()}
+    return (
+        F.when(same["species"], 0)
+        .when(same["family"] & same["genus"], 1)
+        .when(same["family"] & ~same["genus"], 2)
+        .when(~same["family"], 3)
+        .otherwise(4)
+    )
+
+
+def first_difference(pairs: dict[str, tuple[Column, Column]], within: str) -> Column:
+    """The first rank, from the top, whose names differ; ``within`` if none does. A missing name differs from any other."""
+    return F.coalesce(*[F.when(~a.eqNullSafe(b), rank) for rank, (a, b) in pairs.items()], F.lit(within))
+
+
+def scatter_metrics(pairs: DataFrame, x: str, y: str, masks: int) -> DataFrame:
+    """(mask, n_pairs, pearson, spearman, slope, intercept, reason) over every union of relations; of a bounded sample of pairs.
+
+    ``pairs`` has ``relation``; a mask takes the pairs whose relation's bit it
+    has. Ranks are average ranks within the union.
+    """
+    bit = F.call_function("shiftleft", F.lit(1), F.col("relation"))
+    chosen = pairs.select(F.col(x).alias("x"), F.col(y).alias("y"), F.explode(F.sequence(F.lit(1), F.lit(masks - 1))).alias("mask"), bit.alias("bit")).where(F.col("mask").bitwiseAND(F.col("bit")) != 0)
+    ranked = chosen.withColumn("rx", average_rank(F.col("x"), "mask")).withColumn("ry", average_rank(F.col("y"), "mask"))
+    a, b = F.col("x"), F.col("y")
+    slope, intercept = regression(a, b)
+    measured = ranked.groupBy("mask").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.round(pearson(a, b), 6).alias("pearson"), F.round(pearson(F.col("rx"), F.col("ry")), 6).alias("spearman"),
+        F.round(slope, 6).alias("slope"), F.round(intercept, 6).alias("intercept"), undefined_reason(a, b).alias("reason"),
+    )
+    every = pairs.sparkSession.range(masks).select(F.col("id").cast("int").alias("mask"))
+    return every.join(measured, "mask", "left").select(
+        "mask", F.coalesce("n_pairs", F.lit(0).cast("bigint")).alias("n_pairs"), "pearson", "spearman", "slope", "intercept",
+        F.when(F.col("n_pairs").isNull(), "fewer_than_two_pairs").otherwise(F.col("reason")).alias("reason"),
+    )

@@ -9,7 +9,7 @@ from cladeflow.functions import seq
 from cladeflow.functions.text import UNKNOWN_SPECIES, bin_name, blank_clean, collapse, taxon_name
 from cladeflow.operators import pairing, selection, taxonomy
 from cladeflow.plans.problems import sql_bin, sql_clean, sql_taxon
-from cladeflow.session import Scratch, table
+from cladeflow.session import Scratch, stored, table
 
 RANKS = taxonomy.RANKS
 SHORT_PRIMERS = seq.Primers("short", "GGWAC", "GGYAA", 60, 20, 120)
@@ -201,43 +201,47 @@ class _Placement:
         return taxonomy.sidecar(self.candidates, self.placed("lca"), "BIN", style)
 
 
+def _placement(spark, sf_dir) -> _Placement:
+    return stored("placement", _records(spark, sf_dir), lambda: _Placement(spark, sf_dir))
+
+
 def _placed_text(placed):
     return placed.select(F.col("terminal").alias("bin_uri"), taxonomy.path_text(F.col("attachment")).alias("path"), "n_candidates", "lifted", "suspect")
 
 
 def lca_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed_text(_Placement(spark, sf_dir).placed("lca"))
+    return _placed_text(_placement(spark, sf_dir).placed("lca"))
 
 
 def plurality_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed_text(_Placement(spark, sf_dir).placed("plurality"))
+    return _placed_text(_placement(spark, sf_dir).placed("plurality"))
 
 
 def lift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.lift_summary(_Placement(spark, sf_dir).placed("lca"))
+    return taxonomy.lift_summary(_placement(spark, sf_dir).placed("lca"))
 
 
 def sidecar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _Placement(spark, sf_dir).sidecar()
+    return _placement(spark, sf_dir).sidecar()
 
 
 def placement_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.annotation(_Placement(spark, sf_dir).sidecar("gtdb"))
+    return taxonomy.annotation(_placement(spark, sf_dir).sidecar("gtdb"))
 
 
 def sidecar_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.sidecar_summary(Scratch(spark, "sidecar").keep(_Placement(spark, sf_dir).sidecar()))
+    return taxonomy.sidecar_summary(Scratch(spark, "sidecar").keep(_placement(spark, sf_dir).sidecar()))
 
 
 def top_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most fragmented suspects."""
-    rows = _Placement(spark, sf_dir).sidecar().where("suspect = 'yes'")
+    rows = _placement(spark, sf_dir).sidecar().where("suspect = 'yes'")
     return rows.select("terminal", "n_lineages", "placed_at").orderBy(F.desc("n_lineages"), F.desc("terminal")).limit(10)
 
 
 def grafted_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The taxa that carry a terminal below them, with the number of their terminals."""
-    placed = _Placement(spark, sf_dir).placed("lca")
+    placed = _placement(spark, sf_dir).placed("lca")
     at = placed.groupBy(F.col("attachment").alias("path")).agg(F.count(F.lit(1)).alias("n_records"))
     return _path_rows(taxonomy.subtree_counts(at)).withColumnRenamed("n_records", "n_terminals")
 

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import vectors as V
 from cladeflow.functions.text import blank_clean, taxon_name
-from cladeflow.operators import hierarchy, nj
+from cladeflow.operators import hierarchy, nj, pairing, trees
 from cladeflow.operators import representations as R
 from cladeflow.plans.problems import _SQL_WALK, sql_clean, sql_taxon
-from cladeflow.session import Scratch, table
+from cladeflow.session import Scratch, stored, table
 
 DIM = 64
+PAIRS = 20_000
+TAXA = ("tax_order", "family", "genus", "species")
 
 
 def _bundle(spark, sf_dir):
@@ -38,10 +40,10 @@ def vector_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid_of_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit means of labels, averaged without weights per label remainder and scaled to unit length again."""
-    unit = R.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding").select((F.col("label") % 3).alias("parent"), V.unit(F.col("centroid")).alias("u"))
-    up = R.centroids(unit, "parent", "u").select("parent", V.unit(F.col("centroid")).alias("u"))
-    return up.select("parent", F.posexplode("u").alias("dim", "x")).select("parent", "dim", F.round("x", 6).alias("x"))
+    """Families' unit means of their genera's unit means of their species' unit means."""
+    rows = _bundle(spark, sf_dir).select(*[taxon_name(F.col(r)).alias(r) for r in TAXA[1:]], V.unit(F.col("embedding")).alias("u"))
+    means = R.nested_centroids(rows, list(TAXA[1:]), "u")
+    return means.select("family", F.posexplode("centroid").alias("dim", "x")).select("family", "dim", F.round("x", 6).alias("x"))
 
 
 def cosine_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,32 +66,64 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's closest label mean; the means, one per label, are broadcast while there are at most 10,000."""
+    """Each vector's closest label mean."""
     rows = table(spark, sf_dir, "embeddings")
-    means = R.centroids(rows, "label", "embedding").orderBy("label").limit(10_001).collect()
-    if len(means) > 10_000:
-        raise ValueError("too many labels to broadcast their means")
-    return R.nearest(rows, "vec_id", "embedding", {r.label: r.centroid for r in means})
+    means = R.centroids(rows, "label", "embedding").select(F.col("label").cast("bigint").alias("label"), F.col("centroid").alias("mean"))
+    return R.nearest(rows, "vec_id", "embedding", means, DIM)
 
 
 def _pairs(spark, sf_dir):
-    """Vectors whose ids follow one another: a fixed sample of pairs that needs one equi-join."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    other = rows.select((F.col("vec_id") + 1).alias("vec_id"), F.col("label").alias("label2"), F.col("embedding").alias("e2"))
-    return rows.join(other, "vec_id").select(
-        "vec_id",
-        V.cosine_distance(F.col("embedding"), F.col("e2")).alias("cosine"),
-        V.euclidean(F.col("embedding"), F.col("e2")).alias("euclid"),
-        F.when(F.col("label") == F.col("label2"), "same_label").when(F.col("label") % 3 == F.col("label2") % 3, "same_parent").otherwise("apart").alias("relation"),
-    )
+    """A seeded sample of pairs of specimens with both distances, how they are related and the first rank they differ at."""
+    rows = _bundle(spark, sf_dir).select("faiss_id", *[taxon_name(F.col(r)).alias(r) for r in TAXA], "embedding")
+    pairs = pairing.sampled_pairs(rows, "faiss_id", PAIRS)
+    names = {r: (F.col(r), F.col(f"{r}_2")) for r in TAXA}
+    return pairs.select(
+        "faiss_id", "faiss_id_2",
+        V.cosine_distance(F.col("embedding"), F.col("embedding_2")).alias("cosine"),
+        V.euclidean(V.unit(F.col("embedding")), V.unit(F.col("embedding_2"))).alias("euclid"),
+        R.relation(names).alias("relation"),
+        R.first_difference(names, "within_species").alias("first_rank"),
+    )
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("vec_id", F.round("cosine", 6).alias("cosine"), F.round("euclid", 6).alias("euclid"), "relation")
+    return _pairs(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("cosine", "euclid")})
 
 
 def distance_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).groupBy("relation").agg(*R.fit_measures(F.col("euclid"), F.col("cosine")))
+    """How Euclidean distances of unit vectors meet cosine ones, by the first rank that differs and over all pairs."""
+    pairs = Scratch(spark, "fit").keep(_pairs(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("cosine", "euclid")}))
+    both = pairs.unionByName(pairs.withColumn("first_rank", F.lit("all")))
+    ranked = both.withColumn("rx", R.average_rank(F.col("cosine"), "first_rank")).withColumn("ry", R.average_rank(F.col("euclid"), "first_rank"))
+    return ranked.groupBy("first_rank").agg(*R.fit_measures(F.col("cosine"), F.col("euclid")), F.round(R.pearson(F.col("rx"), F.col("ry")), 6).alias("spearman"))
+
+
+def relation_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of the two distances over all 32 unions of relations."""
+    pairs = _pairs(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("cosine", "euclid")})
+    return R.scatter_metrics(pairs, "cosine", "euclid", 1 << len(R.RELATIONS))
+
+
+def genus_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of specimens within each genus that has at most 50 of them, with their mean distance."""
+    rows = _bundle(spark, sf_dir).select("faiss_id", taxon_name(F.col("genus")).alias("genus"), "embedding").where("genus IS NOT NULL")
+    small = rows.groupBy("genus").agg(F.count(F.lit(1)).alias("n")).where("n <= 50").select("genus")
+    pairs = pairing.all_within_groups(rows.join(small, "genus"), "genus", "faiss_id", 100_000_000)
+    return pairs.groupBy("genus").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(V.cosine_distance(F.col("embedding"), F.col("embedding_2"))), 6).alias("mean_cosine"))
+
+
+def record_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample of 200 specimens."""
+    return pairing.sampled_rows(_bundle(spark, sf_dir), "faiss_id", 200).select("faiss_id", "ids", "bundle_no")
+
+
+def genus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per family and genus: specimens with a usable vector, those that the records name, and those in the sample."""
+    rows = _bundle(spark, sf_dir).select("faiss_id", F.upper(blank_clean(F.col("ids"))).alias("id"), *[taxon_name(F.col(r)).alias(r) for r in ("family", "genus")])
+    known = table(spark, sf_dir, "bcdm_records").select(F.upper(blank_clean(F.col("processid"))).alias("id"), F.lit(True).alias("known")).where("id IS NOT NULL").distinct()
+    sample = record_sample(spark, sf_dir).select("faiss_id", F.lit(True).alias("taken"))
+    both = rows.where("family IS NOT NULL AND genus IS NOT NULL").join(known, "id", "left").join(sample, "faiss_id", "left")
+    return both.groupBy("family", "genus").agg(F.count(F.lit(1)).alias("n_eligible"), F.count("known").alias("n_matched"), F.count("taken").alias("n_analysed"))
 
 
 def nj_genera(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +135,8 @@ def nj_genera(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = hierarchy.hierarchy_status(table(spark, sf_dir, "node_lengths"))
-    return status.groupBy("tree").agg(
+    rows = table(spark, sf_dir, "node_lengths")
+    return stored("status", rows, lambda: Scratch(spark, "status").keep(hierarchy.hierarchy_status(rows))).groupBy("tree").agg(
         F.count(F.lit(1)).alias("n_nodes"),
         F.count_if(F.col("depth") == 0).alias("n_roots"),
         F.count_if(F.col("fate") != "rooted").alias("n_faulty"),
@@ -112,101 +146,80 @@ def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of nodes below each node that has any."""
-    below = hierarchy.descendants(hierarchy.hierarchy_paths(table(spark, sf_dir, "node_lengths")))
+    below = hierarchy.descendants(_measured(spark, sf_dir).paths)
     return below.groupBy("tree", F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_below"))
 
 
+def _measured(spark, sf_dir) -> trees.Measured:
+    rows = table(spark, sf_dir, "node_lengths")
+    return stored("measured", rows, lambda: trees.Measured(rows))
+
+
 def _tips(spark, sf_dir):
     """(tree, label, node_id, path): tips whose label is theirs alone in the tree."""
     rows = table(spark, sf_dir, "node_lengths")
-    paths = Scratch(spark, "tips").keep(hierarchy.hierarchy_paths(rows))
+    paths = _measured(spark, sf_dir).paths
     labels = rows.where("node_kind = 'tip' AND original_label IS NOT NULL").groupBy("tree", "node_id").agg(F.max("original_label").alias("label"))
     own = labels.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("node_id")).where("n = 1")
     return own.join(paths, ["tree", "node_id"]).select("tree", "label", "node_id", "path", "depth")
 
 
 def lca_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lowest common ancestor and steps between each tip and the one whose node id comes next by 1."""
-    tips = _tips(spark, sf_dir)
-    other = tips.select("tree", (F.col("node_id") - 1).alias("node_id"), F.col("path").alias("path2"))
-    shared = F.size(F.filter(F.zip_with("path", "path2", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same))
-    both = tips.join(other, ["tree", "node_id"]).withColumn("shared", shared).where("shared > 0")
-    return both.select("tree", "node_id", F.element_at("path", F.col("shared")).alias("lca_id"), (F.size("path") + F.size("path2") - 2 * F.col("shared")).alias("steps"))
-
-
-def tip_depth_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spearman's rho of the depths of shared tips in the inferred and the reference tree of each run."""
-    tips = _tips(spark, sf_dir).select(F.split("tree", "/")[0].alias("run"), F.split("tree", "/")[1].alias("side"), "label", "depth")
-    wide = tips.groupBy("run", "label").pivot("side", ["inferred", "reference"]).agg(F.max("depth")).where("inferred IS NOT NULL AND reference IS NOT NULL")
-    ranked = wide.withColumn("a", R.average_rank(F.col("inferred"), "run")).withColumn("b", R.average_rank(F.col("reference"), "run"))
-    return ranked.groupBy("run").agg(F.count(F.lit(1)).alias("n_shared"), F.round(R.pearson(F.col("a"), F.col("b")), 6).alias("rho"))
-
-
-def _clades(spark, sf_dir):
-    """(run, side, fp1, fp2, n): rooted clades over the tips that both trees of a run have, as fingerprints of their labels."""
-    tips = _tips(spark, sf_dir).withColumn("run", F.split("tree", "/")[0]).withColumn("side", F.split("tree", "/")[1])
-    shared = tips.groupBy("run", "label").agg(F.count_distinct("side").alias("n")).where("n = 2").select("run", "label")
-    kept = tips.join(shared, ["run", "label"])
-    total = kept.groupBy("run", "side").agg(F.count(F.lit(1)).alias("total"))
-    above = kept.select("run", "side", "label", F.explode("path").alias("node"))
-    clades = above.groupBy("run", "side", "node").agg(
-        F.bit_xor(F.xxhash64("label", F.lit(1))).alias("fp1"), F.bit_xor(F.xxhash64("label", F.lit(2))).alias("fp2"), F.count(F.lit(1)).alias("n")
-    )
-    return clades.join(total, ["run", "side"]).where("n > 1 AND n < total").select("run", "side", "fp1", "fp2", "n").distinct()
-
-
-def rf_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clades that only one of a run's trees has; normalised by all clades of both."""
-    sides = _clades(spark, sf_dir).groupBy("run", "fp1", "fp2", "n").agg(F.count_if(F.col("side") == "inferred").alias("a"), F.count_if(F.col("side") == "reference").alias("b"))
-    return sides.groupBy("run").agg(
-        F.count_if(F.col("a") != F.col("b")).alias("rf"), F.sum("a").alias("n_inferred"), F.sum("b").alias("n_reference")
-    ).withColumn("normalised", F.round(F.try_divide(F.col("rf"), F.col("n_inferred") + F.col("n_reference")), 6))
-
-
-def taxon_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per tree and genus: its tips, the tips below their last common ancestor, and the share of the one in the other."""
-    tips = _tips(spark, sf_dir)
-    records = table(spark, sf_dir, "bcdm_records")
-    genus = (
-        records.select(F.upper(blank_clean(F.col("processid"))).alias("label"), taxon_name(F.col("genus")).alias("genus"), "record_no")
-        .where("label IS NOT NULL AND genus IS NOT NULL")
+    """Lowest common ancestor and steps between each labelled tip and another one drawn from its tree."""
+    both = pairing.partners(_tips(spark, sf_dir).select("tree", "node_id", "path"), "tree", "node_id")
+    shared = F.size(F.filter(F.zip_with("path", "path_2", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same))
+    found = both.withColumn("shared", shared).where("shared > 0")
+    return found.select("tree", "node_id", "node_id_2", F.get("path", F.col("shared") - 1).alias("lca_id"), (F.size("path") + F.size("path_2") - 2 * F.col("shared")).alias("steps"))
+
+
+def _purity(spark, sf_dir):
+    """Per tree, rank and lineage down to it: its tips, the tips below their last common ancestor, and the share of the one in the other."""
+    tips = Scratch(spark, "purity").keep(_tips(spark, sf_dir))
+    names = F.struct(*[taxon_name(F.col(r)).alias(r) for r in TAXA])
+    records = (
+        table(spark, sf_dir, "bcdm_records")
+        .select(F.upper(blank_clean(F.col("processid"))).alias("label"), names.alias("taxa"), "record_no")
+        .where("label IS NOT NULL")
         .groupBy("label")
-        .agg(F.min_by("genus", "record_no").alias("genus"))
+        .agg(F.min_by("taxa", "record_no").alias("taxa"))
     )
-    above = tips.select("tree", "node_id", "label", F.posexplode("path").alias("at", "anc"))
+    shown = [F.coalesce(F.col(f"taxa.{r}"), F.lit("None")) for r in TAXA]
+    lineages = F.array(*[F.struct(F.lit(r).alias("rank"), F.concat_ws(" > ", *shown[: i + 1]).alias("lineage")) for i, r in enumerate(TAXA)])
+    named = tips.join(records, "label").select("tree", "node_id", "path", F.inline(lineages))
+    above = tips.select("tree", F.explode("path").alias("anc"))
     below = above.groupBy("tree", "anc").agg(F.count(F.lit(1)).alias("n_below"))
-    named = above.join(genus, "label").groupBy("tree", "genus", "anc").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
-    # Ancestors that all tips of the genus have lie on one way; the lowest of them is the common one.
-    total = tips.join(genus, "label").groupBy("tree", "genus").agg(F.count(F.lit(1)).alias("n_tips"))
-    common = (
-        named.join(total, ["tree", "genus"])
-        .where("n = n_tips")
-        .groupBy("tree", "genus", "n_tips")
-        .agg(F.max_by("anc", "at").alias("anc"))
-    )
-    return common.join(below, ["tree", "anc"]).select("tree", "genus", "n_tips", "n_below", F.round(F.col("n_tips") / F.col("n_below"), 6).alias("purity"))
+    # Ancestors that all tips of a taxon have lie on one way; the lowest of them is the common one.
+    total = named.groupBy("tree", "rank", "lineage").agg(F.count(F.lit(1)).alias("n_tips"))
+    shared = named.select("tree", "rank", "lineage", F.posexplode("path").alias("at", "anc")).groupBy("tree", "rank", "lineage", "anc").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
+    common = shared.join(total, ["tree", "rank", "lineage"]).where("n = n_tips").groupBy("tree", "rank", "lineage", "n_tips").agg(F.max_by("anc", "at").alias("anc"))
+    return common.join(below, ["tree", "anc"]).select("tree", "rank", "lineage", "n_tips", "n_below", (F.col("n_tips") / F.col("n_below")).alias("purity"))
+
 
+def taxon_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _purity(spark, sf_dir).withColumn("purity", F.round("purity", 6))
 
-def pruned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that stay when each tree is cut down to its tips with an own label and single-child nodes are suppressed.
 
-    A node stays if it is such a tip or if kept tips lie below at least two of
-    its children; ``parent_id`` is its next kept ancestor, ``span`` the edges between.
-    """
-    above = _tips(spark, sf_dir).select("tree", "node_id", "path", F.posexplode("path").alias("at", "anc"))
-    child = F.try_element_at("path", F.col("at") + 2)
-    forks = above.where(child.isNotNull()).groupBy("tree", "anc").agg(F.count_distinct(child).alias("n")).where("n >= 2").select("tree", "anc")
-    kept = above.join(forks.withColumn("fork", F.lit(True)), ["tree", "anc"], "left").where("fork OR anc = node_id")
-    w = Window.partitionBy("tree", "node_id").orderBy("at")
-    linked = kept.select("tree", F.col("anc").alias("kept_id"), F.lag("anc").over(w).alias("parent_id"), (F.col("at") - F.lag("at").over(w)).alias("span"))
-    return linked.distinct()
+def purity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro averages per tree and rank, over all taxa and over those with more than one tip, and how many of the latter are monophyletic."""
+    several = F.col("n_tips") > 1
+    return _purity(spark, sf_dir).groupBy("tree", "rank").agg(
+        F.count(F.lit(1)).alias("n_taxa"), F.count_if(several).alias("n_nontrivial"), F.round(F.avg("purity"), 6).alias("macro_all"),
+        F.round(F.avg(F.when(several, F.col("purity"))), 6).alias("macro_nontrivial"), F.count_if(several & (F.col("n_tips") == F.col("n_below"))).alias("n_monophyletic"),
+    )
 
 
 def relation_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median and quartiles of pair distances by relation."""
-    d = F.round("cosine", 9)
-    return _pairs(spark, sf_dir).groupBy("relation").agg(
-        F.round(F.percentile(d, 0.25), 6).alias("q25"), F.round(F.percentile(d, 0.5), 6).alias("q50"), F.round(F.percentile(d, 0.75), 6).alias("q75")
+    """Ten groups of equal size by cosine distance: edges, median and quartiles of the Euclidean one."""
+    pairs = _pairs(spark, sf_dir).select("faiss_id", "faiss_id_2", F.round("cosine", 9).alias("x"), F.round("euclid", 9).alias("y"))
+    binned = pairs.withColumn("bin", F.ntile(10).over(Window.orderBy("x", "faiss_id", "faiss_id_2")))
+    q = {f"q{round(p * 100)}": F.round(F.percentile("y", p), 6) for p in (0.25, 0.5, 0.75)}
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most"), *[c.alias(n) for n, c in q.items()])
+
+
+def rank_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median distances by the first rank that differs."""
+    return _pairs(spark, sf_dir).groupBy("first_rank").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.round(F.percentile(F.round("cosine", 9), 0.5), 6).alias("cosine"), F.round(F.percentile(F.round("euclid", 9), 0.5), 6).alias("euclid")
     )
 
 
@@ -214,8 +227,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_coverage, vector_centroid, centroid_of_centroids, cosine_medoid, genus_medoid, covariance_trace, knn_exact, nearest_centroid,
-        vector_pairs, distance_fit, nj_genera, tree_summary, subtree_sizes, lca_pairs, tip_depth_correlation, rf_distance,
-        taxon_purity, pruned_nodes, relation_bins,
+        vector_pairs, distance_fit, relation_subsets, genus_pairs, record_sample, genus_coverage, rank_medians, nj_genera, tree_summary, subtree_sizes, lca_pairs,
+        taxon_purity, purity_summary, relation_bins,
     )
 }
 
@@ -234,39 +247,75 @@ def _sql_medoid(source: str, group: str, key: str) -> str:
         count(*) OVER (PARTITION BY g) AS n FROM d) WHERE r = 1"""
 
 
-_PAIRS = """p AS (SELECT a.vec_id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine,
-      list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS euclid,
-      CASE WHEN a.label = b.label THEN 'same_label' WHEN a.label % 3 = b.label % 3 THEN 'same_parent' ELSE 'apart' END AS relation
-      FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1)"""
+_TAXA = ", ".join(f"{sql_taxon(r)} AS {r}" for r in TAXA)
+_DRAW = "concat('0x', substr(md5({0}), 1, 15))::BIGINT"
+_PAIRS = f"""n AS (SELECT *, row_number() OVER (ORDER BY faiss_id) - 1 AS o FROM (SELECT faiss_id, embedding::DOUBLE[] AS e, {_TAXA} FROM embedding_bundle WHERE {_USABLE})),
+      tot AS (SELECT count(*) * (count(*) - 1) // 2 AS total FROM n),
+      dr AS (SELECT range AS id, {_DRAW.format("'pairs-1:' || range")} % total AS t FROM range({2 * PAIRS}), tot WHERE total > {PAIRS}),
+      ts AS (SELECT t FROM (SELECT t, min(id) AS id FROM dr GROUP BY t) ORDER BY id LIMIT {PAIRS}),
+      al AS (SELECT t FROM ts UNION ALL SELECT unnest(range(total)) FROM tot WHERE total <= {PAIRS}),
+      ro AS (SELECT t, floor((1 + sqrt(1 + 8 * t::DOUBLE)) / 2) AS r FROM al),
+      ij AS (SELECT t, (CASE WHEN r * (r - 1) / 2 > t THEN r - 1 WHEN r * (r + 1) / 2 <= t THEN r + 1 ELSE r END)::BIGINT AS j FROM ro),
+      p AS (SELECT a.faiss_id, b.faiss_id AS faiss_id_2, 1 - list_cosine_similarity(a.e, b.e) AS cosine, sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.e, b.e))) AS euclid,
+        CASE WHEN a.species = b.species THEN 0 WHEN a.family = b.family AND a.genus = b.genus THEN 1 WHEN a.family = b.family AND a.genus <> b.genus THEN 2
+          WHEN a.family <> b.family THEN 3 ELSE 4 END AS relation,
+        CASE {" ".join(f"WHEN a.{r} IS DISTINCT FROM b.{r} THEN '{r}'" for r in TAXA)} ELSE 'within_species' END AS first_rank
+        FROM ij JOIN n a ON a.o = t - j * (j - 1) // 2 JOIN n b ON b.o = j)"""
 _TIPS = f"""{_SQL_WALK}, lab AS (SELECT tree, node_id, max(original_label) AS label FROM node_lengths WHERE node_kind = 'tip' AND original_label IS NOT NULL GROUP BY ALL),
       own AS (SELECT tree, label, max(node_id) AS node_id FROM lab GROUP BY ALL HAVING count(*) = 1),
       tips AS (SELECT own.tree, label, own.node_id, path, steps AS depth, split_part(own.tree, '/', 1) AS run, split_part(own.tree, '/', 2) AS side
                FROM own JOIN s ON s.tree = own.tree AND s.node_id = own.node_id WHERE fate = 'rooted')"""
 
+_PURITY = f"""re AS (SELECT label, arg_min(taxa, record_no) AS taxa FROM (SELECT upper({sql_clean("processid")}) AS label, record_no,
+          struct_pack({", ".join(f"{r} := coalesce({sql_taxon(r)}, 'None')" for r in TAXA)}) AS taxa FROM bcdm_records) WHERE label IS NOT NULL GROUP BY label),
+        li AS (SELECT tree, node_id, path, unnest([{", ".join(f"struct_pack(rank := '{r}', lineage := concat_ws(' > ', {', '.join(f'taxa.{q}' for q in TAXA[: i + 1])}))" for i, r in enumerate(TAXA))}]) AS l
+          FROM tips JOIN re ON re.label = tips.label),
+        nm AS (SELECT tree, node_id, path, l.rank AS rank, l.lineage AS lineage FROM li),
+        be AS (SELECT tree, anc, count(*) AS n_below FROM (SELECT tree, unnest(path) AS anc FROM tips) GROUP BY ALL),
+        tt AS (SELECT tree, rank, lineage, count(*) AS n_tips FROM nm GROUP BY ALL),
+        na AS (SELECT tree, rank, lineage, path[i] AS anc, count(*) AS n, max(i) AS i FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM nm) GROUP BY tree, rank, lineage, path[i]),
+        co AS (SELECT na.tree, na.rank, na.lineage, n_tips, arg_max(anc, i) AS anc FROM na JOIN tt ON tt.tree = na.tree AND tt.rank = na.rank AND tt.lineage = na.lineage WHERE n = n_tips GROUP BY ALL),
+        pu AS (SELECT co.*, n_below FROM co JOIN be ON be.tree = co.tree AND be.anc = co.anc)"""
+_PARTNERS = """po AS (SELECT tree, node_id{extra}, row_number() OVER (PARTITION BY tree ORDER BY node_id) - 1 AS o, count(*) OVER (PARTITION BY tree) AS n FROM {source}),
+        pt AS (SELECT x.tree, x.node_id AS a, y.node_id AS b, x.*, y.path AS path_2 FROM po x JOIN po y ON x.tree = y.tree
+          AND y.o = (x.o + concat('0x', substr(md5('partners-1:' || x.tree || ':' || x.node_id), 1, 15))::BIGINT % (x.n - 1) + 1) % x.n WHERE x.n > 1)"""
+
 SQL = {
-    "taxon_purity": f"""{_TIPS}, gn AS (SELECT label, arg_min(genus, record_no) AS genus FROM (SELECT upper({sql_clean("processid")}) AS label,
-          {sql_taxon("genus")} AS genus, record_no FROM bcdm_records) WHERE label IS NOT NULL AND genus IS NOT NULL GROUP BY label),
-        ab AS (SELECT tree, node_id, label, path[i] AS anc, i FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM tips)),
-        be AS (SELECT tree, anc, count(*) AS n_below FROM ab GROUP BY ALL),
-        tt AS (SELECT tree, genus, count(*) AS n_tips FROM tips JOIN gn USING (label) GROUP BY ALL),
-        na AS (SELECT tree, genus, anc, count(*) AS n, max(i) AS i FROM ab JOIN gn USING (label) GROUP BY tree, genus, anc),
-        co AS (SELECT na.tree, na.genus, n_tips, arg_max(anc, i) AS anc FROM na JOIN tt ON tt.tree = na.tree AND tt.genus = na.genus
-          WHERE n = n_tips GROUP BY na.tree, na.genus, n_tips)
-        SELECT co.tree, genus, n_tips, n_below, round(n_tips / n_below, 6) AS purity FROM co JOIN be ON be.tree = co.tree AND be.anc = co.anc""",
-    "pruned_nodes": f"""{_TIPS}, ab AS (SELECT tree, node_id, path[i] AS anc, path[i + 1] AS child, i FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM tips)),
-        fo AS (SELECT tree, anc FROM ab WHERE child IS NOT NULL GROUP BY ALL HAVING count(DISTINCT child) >= 2),
-        ke AS (SELECT ab.* FROM ab LEFT JOIN fo ON fo.tree = ab.tree AND fo.anc = ab.anc WHERE fo.anc IS NOT NULL OR ab.anc = node_id)
-        SELECT DISTINCT tree, anc AS kept_id, lag(anc) OVER u AS parent_id, (i - lag(i) OVER u)::INT AS span FROM ke
-        WINDOW u AS (PARTITION BY tree, node_id ORDER BY i)""",
-    "relation_bins": f"""WITH {_PAIRS} SELECT relation, round(quantile_cont(round(cosine, 9), 0.25), 6) AS q25, round(quantile_cont(round(cosine, 9), 0.5), 6) AS q50,
-        round(quantile_cont(round(cosine, 9), 0.75), 6) AS q75 FROM p GROUP BY 1""",
+    "taxon_purity": f"""{_TIPS}, {_PURITY} SELECT tree, rank, lineage, n_tips, n_below, round(n_tips / n_below, 6) AS purity FROM pu""",
+    "purity_summary": f"""{_TIPS}, {_PURITY} SELECT tree, rank, count(*) AS n_taxa, count(*) FILTER (n_tips > 1) AS n_nontrivial, round(avg(n_tips / n_below), 6) AS macro_all,
+        round(avg(CASE WHEN n_tips > 1 THEN n_tips / n_below END), 6) AS macro_nontrivial, count(*) FILTER (n_tips > 1 AND n_tips = n_below) AS n_monophyletic FROM pu GROUP BY ALL""",
+    "relation_bins": f"""WITH {_PAIRS}, b AS (SELECT round(cosine, 9) AS x, round(euclid, 9) AS y, ntile(10) OVER (ORDER BY round(cosine, 9), faiss_id, faiss_id_2) AS bin FROM p)
+        SELECT bin::INT AS bin, count(*) AS n_pairs, round(min(x), 6) AS least, round(max(x), 6) AS most, round(quantile_cont(y, 0.25), 6) AS q25,
+        round(quantile_cont(y, 0.5), 6) AS q50, round(quantile_cont(y, 0.75), 6) AS q75 FROM b GROUP BY bin""",
+    "rank_medians": f"""WITH {_PAIRS} SELECT first_rank, count(*) AS n_pairs, round(quantile_cont(round(cosine, 9), 0.5), 6) AS cosine,
+        round(quantile_cont(round(euclid, 9), 0.5), 6) AS euclid FROM p GROUP BY 1""",
+    "relation_subsets": f"""WITH {_PAIRS}, b AS (SELECT mask, round(cosine, 9) AS x, round(euclid, 9) AS y FROM p, (SELECT unnest(range(1, 32)) AS mask) WHERE (mask & (1 << relation)) <> 0),
+        k AS (SELECT *, rank() OVER (PARTITION BY mask ORDER BY x) + (count(*) OVER (PARTITION BY mask, x) - 1) / 2 AS rx,
+          rank() OVER (PARTITION BY mask ORDER BY y) + (count(*) OVER (PARTITION BY mask, y) - 1) / 2 AS ry FROM b),
+        m AS (SELECT mask, count(*) AS n, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN round(corr(x, y), 6) END AS pearson,
+          CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN round(corr(rx, ry), 6) END AS spearman, CASE WHEN min(x) < max(x) THEN round(regr_slope(y, x), 6) END AS slope,
+          CASE WHEN min(x) < max(x) THEN round(regr_intercept(y, x), 6) END AS intercept,
+          CASE WHEN count(*) < 2 THEN 'fewer_than_two_pairs' WHEN min(x) = max(x) OR min(y) = max(y) THEN 'constant_distances' END AS reason FROM k GROUP BY mask)
+        SELECT r.mask::INT AS mask, coalesce(n, 0) AS n_pairs, pearson, spearman, slope, intercept, CASE WHEN n IS NULL THEN 'fewer_than_two_pairs' ELSE reason END AS reason
+        FROM (SELECT unnest(range(32)) AS mask) r LEFT JOIN m ON m.mask = r.mask""",
+    "genus_pairs": f"""WITH u AS (SELECT faiss_id, {sql_taxon("genus")} AS genus, embedding::DOUBLE[] AS e, count(*) OVER (PARTITION BY {sql_taxon("genus")}) AS n FROM embedding_bundle WHERE {_USABLE})
+        SELECT a.genus, count(*) AS n_pairs, round(avg(1 - list_cosine_similarity(a.e, b.e)), 6) AS mean_cosine FROM u a JOIN u b ON a.genus = b.genus AND a.faiss_id < b.faiss_id
+        WHERE a.n <= 50 GROUP BY 1""",
+    "record_sample": f"SELECT faiss_id, ids, bundle_no FROM embedding_bundle WHERE {_USABLE} ORDER BY md5('rows-1:' || faiss_id), faiss_id LIMIT 200",
+    "genus_coverage": f"""WITH s AS (SELECT faiss_id FROM embedding_bundle WHERE {_USABLE} ORDER BY md5('rows-1:' || faiss_id), faiss_id LIMIT 200),
+        k AS (SELECT DISTINCT upper({sql_clean("processid")}) AS id FROM bcdm_records)
+        SELECT {sql_taxon("family")} AS family, {sql_taxon("genus")} AS genus, count(*) AS n_eligible, count(k.id) AS n_matched, count(s.faiss_id) AS n_analysed
+        FROM embedding_bundle b LEFT JOIN k ON k.id = upper({sql_clean("ids")}) LEFT JOIN s ON s.faiss_id = b.faiss_id
+        WHERE {_USABLE} AND {sql_taxon("family")} IS NOT NULL AND {sql_taxon("genus")} IS NOT NULL GROUP BY 1, 2""",
     "vector_coverage": f"""SELECT CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'dimensions' WHEN NOT ({_USABLE}) THEN 'not_usable'
         WHEN {sql_taxon("species")} IS NULL THEN 'no_species' ELSE 'kept' END AS reason, count(*) AS n_rows FROM embedding_bundle GROUP BY 1""",
     "vector_centroid": f"WITH {_CELLS} SELECT label, dim, count(*) AS n, round(sum(x) / count(*), 6) AS mean FROM c GROUP BY ALL",
-    "centroid_of_centroids": f"""WITH {_CELLS}, m AS (SELECT label, dim, avg(x) AS x FROM c GROUP BY ALL),
-        u AS (SELECT label % 3 AS parent, dim, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM m),
-        q AS (SELECT parent, dim, avg(x) AS x FROM u GROUP BY ALL)
-        SELECT parent, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY parent)), 6) AS x FROM q""",
+    "centroid_of_centroids": f"""WITH r AS (SELECT {", ".join(f"{sql_taxon(r)} AS {r}" for r in TAXA[1:])}, {_UNIT.format(v="embedding")} AS u FROM embedding_bundle WHERE {_USABLE}),
+        e AS (SELECT family, genus, species, i - 1 AS dim, u[i] AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM r WHERE family IS NOT NULL AND genus IS NOT NULL AND species IS NOT NULL)),
+        s0 AS (SELECT family, genus, species, dim, avg(x) AS x FROM e GROUP BY ALL), s1 AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY family, genus, species)) AS y FROM s0),
+        g0 AS (SELECT family, genus, dim, avg(y) AS x FROM s1 GROUP BY ALL), g1 AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY family, genus)) AS y FROM g0),
+        f0 AS (SELECT family, dim, avg(y) AS x FROM g1 GROUP BY ALL)
+        SELECT family, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY family)), 6) AS x FROM f0""",
     "cosine_medoid": _sql_medoid("embeddings", "label", "vec_id"),
     "genus_medoid": _sql_medoid(f"(SELECT *, {sql_taxon('genus')} AS clean FROM embedding_bundle WHERE {_USABLE} AND {sql_taxon('genus')} IS NOT NULL)", "clean", "faiss_id").replace("g AS clean,", "g AS genus,"),
     "covariance_trace": f"""WITH {_CELLS}, d AS (SELECT label, dim, var_samp(x) AS v, avg(x) AS m FROM c GROUP BY ALL)
@@ -278,30 +327,20 @@ SQL = {
     "nearest_centroid": f"""WITH {_CELLS}, m AS (SELECT label, list(x ORDER BY dim) AS m FROM (SELECT label, dim, avg(x) AS x FROM c GROUP BY ALL) GROUP BY 1)
         SELECT vec_id, label AS nearest FROM (SELECT e.vec_id, m.label, row_number() OVER (PARTITION BY e.vec_id
           ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], m.m), 9), m.label) AS k FROM embeddings e, m) WHERE k = 1""",
-    "vector_pairs": f"WITH {_PAIRS} SELECT vec_id, round(cosine, 6) AS cosine, round(euclid, 6) AS euclid, relation FROM p",
-    "distance_fit": f"""WITH {_PAIRS} SELECT relation, count(*) AS n_pairs, round(sqrt(sum((cosine - euclid) * (cosine - euclid)) / sum(euclid * euclid)), 6) AS stress,
-        round(avg(cosine - euclid), 6) AS mean_error, round(avg(abs(cosine - euclid)), 6) AS mean_abs_error,
-        round(quantile_cont(abs(cosine - euclid), 0.9), 6) AS p90_abs_error, round(avg(CASE WHEN euclid > 0 THEN abs(cosine - euclid) / euclid END) * 100, 6) AS mape,
-        count(*) FILTER (euclid = 0) AS n_zero_targets, round(greatest(0, sum(euclid * cosine) / sum(cosine * cosine)), 6) AS scale,
-        round(corr(euclid, cosine), 6) AS pearson FROM p GROUP BY 1""",
+    "vector_pairs": f"WITH {_PAIRS} SELECT faiss_id, faiss_id_2, round(cosine, 6) AS cosine, round(euclid, 6) AS euclid, relation, first_rank FROM p",
+    "distance_fit": f"""WITH {_PAIRS}, q AS (SELECT round(cosine, 9) AS t, round(euclid, 9) AS f, first_rank FROM p), b AS (SELECT * FROM q UNION ALL SELECT t, f, 'all' FROM q),
+        k AS (SELECT *, rank() OVER (PARTITION BY first_rank ORDER BY t) + (count(*) OVER (PARTITION BY first_rank, t) - 1) / 2 AS rx,
+          rank() OVER (PARTITION BY first_rank ORDER BY f) + (count(*) OVER (PARTITION BY first_rank, f) - 1) / 2 AS ry FROM b),
+        g AS (SELECT first_rank AS g, greatest(0, sum(t * f) / sum(f * f)) AS scale FROM b GROUP BY 1)
+        SELECT first_rank, count(*) AS n_pairs, round(sqrt(sum((f - t) * (f - t)) / sum(t * t)), 6) AS stress, round(avg(f - t), 6) AS mean_error,
+        round(avg(abs(f - t)), 6) AS mean_abs_error, round(quantile_cont(abs(f - t), 0.9), 6) AS p90_abs_error, round(avg(CASE WHEN t > 0 THEN abs(f - t) / t END) * 100, 6) AS mape,
+        count(*) FILTER (t = 0) AS n_zero_targets, round(any_value(scale), 6) AS scale, round(sqrt(sum((scale * f - t) * (scale * f - t)) / sum(t * t)), 6) AS scaled_stress,
+        round(corr(t, f), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM k JOIN g ON g = first_rank GROUP BY first_rank""",
     "tree_summary": f"""{_SQL_WALK} SELECT tree, count(*) AS n_nodes, count(*) FILTER (fate = 'rooted' AND steps = 0) AS n_roots,
         count(*) FILTER (fate <> 'rooted') AS n_faulty, max(CASE WHEN fate = 'rooted' THEN steps END)::BIGINT AS deepest FROM s GROUP BY 1""",
     "subtree_sizes": f"""{_SQL_WALK} SELECT tree, path[i] AS node_id, count(*) AS n_below
         FROM (SELECT *, unnest(range(1, steps + 1)) AS i FROM s WHERE fate = 'rooted') GROUP BY ALL""",
-    "lca_pairs": f"""{_TIPS}, b AS (SELECT a.tree, a.node_id, a.path AS p, b.path AS q FROM tips a JOIN tips b ON a.tree = b.tree AND b.node_id = a.node_id + 1),
-        k AS (SELECT *, len(list_filter(range(1, least(len(p), len(q)) + 1), lambda i: p[i] = q[i])) AS shared FROM b)
-        SELECT tree, node_id, p[shared] AS lca_id, (len(p) + len(q) - 2 * shared)::INT AS steps FROM k WHERE shared > 0""",
-    "tip_depth_correlation": f"""{_TIPS}, wide AS (SELECT run, label, max(depth) FILTER (side = 'inferred') AS x, max(depth) FILTER (side = 'reference') AS y
-          FROM tips GROUP BY ALL HAVING x IS NOT NULL AND y IS NOT NULL),
-        r AS (SELECT run, rank() OVER (PARTITION BY run ORDER BY x) + (count(*) OVER (PARTITION BY run, x) - 1) / 2 AS a,
-                rank() OVER (PARTITION BY run ORDER BY y) + (count(*) OVER (PARTITION BY run, y) - 1) / 2 AS b FROM wide)
-        SELECT run, count(*) AS n_shared, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN round(corr(a, b), 6) END AS rho FROM r GROUP BY 1""",
-    "rf_distance": f"""{_TIPS}, h AS (SELECT run, label FROM tips GROUP BY ALL HAVING count(DISTINCT side) = 2),
-        k AS (SELECT tips.* FROM tips JOIN h ON h.run = tips.run AND h.label = tips.label),
-        tot AS (SELECT run, side, count(*) AS total FROM k GROUP BY ALL),
-        cl AS (SELECT run, side, node, string_agg(label, '|' ORDER BY label) AS fp, count(*) AS n FROM (SELECT *, unnest(path) AS node FROM k) GROUP BY run, side, node),
-        f AS (SELECT DISTINCT cl.run, cl.side, fp, n FROM cl JOIN tot ON tot.run = cl.run AND tot.side = cl.side WHERE n > 1 AND n < total),
-        g AS (SELECT run, fp, count(*) FILTER (side = 'inferred') AS a, count(*) FILTER (side = 'reference') AS b FROM f GROUP BY ALL)
-        SELECT run, count(*) FILTER (a <> b) AS rf, sum(a)::BIGINT AS n_inferred, sum(b)::BIGINT AS n_reference,
-          round(count(*) FILTER (a <> b) / (sum(a) + sum(b)), 6) AS normalised FROM g GROUP BY run""",
+    "lca_pairs": f"""{_TIPS}, {_PARTNERS.format(source="tips", extra=", path")},
+        k AS (SELECT *, len(list_filter(range(1, least(len(p), len(q)) + 1), lambda i: p[i] = q[i])) AS shared FROM (SELECT tree, a, b, path AS p, path_2 AS q FROM pt))
+        SELECT tree, a AS node_id, b AS node_id_2, p[shared] AS lca_id, (len(p) + len(q) - 2 * shared)::INT AS steps FROM k WHERE shared > 0""",
 }
