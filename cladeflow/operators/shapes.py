@@ -64,6 +64,11 @@ def gaussian(total: np.ndarray, dimensions: int) -> tuple[int, np.ndarray, np.nd
     return n, sums / n, axes * np.sqrt(np.maximum(values, 0.0)) if n > 1 else np.zeros_like(cov)
 
 
+def packed_cells(cells: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the cells of each group in order, a fixed number of them."""
+    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "total"))), lambda x: x["total"]).alias(name))
+
+
 def gaussian_distances(cells: DataFrame, parents: DataFrame, dimensions: int) -> DataFrame:
     """(grp, parent, n, distance): 2-Wasserstein distance of each group's Gaussian to that of its parent.
 
@@ -71,10 +76,6 @@ def gaussian_distances(cells: DataFrame, parents: DataFrame, dimensions: int) ->
     cells; a group of one row is a point.
     """
 
-    def packed(c: DataFrame, key: str, name: str) -> DataFrame:
-        # A fixed number of cells per group.
-        return c.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "total"))), lambda x: x["total"]).alias(name))
-
     @F.pandas_udf("double")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
         pairs = ((gaussian(np.asarray(x), dimensions), gaussian(np.asarray(y), dimensions)) for x, y in zip(a, b))
@@ -82,7 +83,7 @@ def gaussian_distances(cells: DataFrame, parents: DataFrame, dimensions: int) ->
 
     tied = cells.join(parents, "grp")
     upper = tied.groupBy("parent", "i", "j").agg(F.sum("total").alias("total"))
-    both = parents.join(packed(cells, "grp", "a"), "grp").join(packed(upper, "parent", "b"), "parent")
+    both = parents.join(packed_cells(cells, "grp", "a"), "grp").join(packed_cells(upper, "parent", "b"), "parent")
     return both.select("grp", "parent", F.col("a")[0].cast("bigint").alias("n"), apart("a", "b").alias("distance"))
 
 

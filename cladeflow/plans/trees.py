@@ -211,10 +211,57 @@ def spherical_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("genus", "n", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
+def _specimens(spark, sf_dir):
+    """Specimens with a usable vector: once per id, the first to arrive."""
+    rows = vectors._bundle(spark, sf_dir).select("faiss_id", *[taxon_name(F.col(r)).alias(r) for r in vectors.TAXA], F.upper(blank_clean(F.col("ids"))).alias("id"), "embedding")
+    first = rows.where("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("faiss_id", *vectors.TAXA, "embedding"), "faiss_id").alias("r")).select("id", "r.*")
+    return stored("specimens", first, lambda: Scratch(spark, "specimens").keep(first))
+
+
+def _tree_summary(tree, name):
+    """Size, clamped lengths, total length and height of a tree, and its tips below the root."""
+    m = nj.measured(Scratch(tree.sparkSession, "built").keep(nj.as_nodes(tree, name)))
+    sums = tree.agg(F.count(F.lit(1)).alias("n_edges"), F.sum("clamped").alias("n_clamped"), F.round(F.sum("length"), 4).alias("total"))
+    tips = m.leaves().agg(F.count(F.lit(1)).alias("n_tips"), F.round(F.max("distance"), 4).alias("height"))
+    return sums.join(tips).select(F.lit(name).alias("method"), "n_tips", "n_edges", "n_clamped", "total", "height")
+
+
 def grafted_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = ["tax_order", "family", "genus", "species"]
-    rows = vectors._bundle(spark, sf_dir).select(*[taxon_name(F.col(r)).alias(r) for r in ranks], "embedding")
-    return nj.grafted_tree(rows, ranks, "embedding").withColumn("length", F.round("length", 6))
+    """The edges of the tree over orders, families, genera, species and specimens by centroids."""
+    tree = nj.taxon_tree(_specimens(spark, sf_dir), "id", list(vectors.TAXA), "embedding", vectors.DIM)
+    return tree.withColumn("length", F.round("length", 6))
+
+
+def genus_trees_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five representations on the same specimens: trees of genera and their specimens, summed up."""
+    rows = _specimens(spark, sf_dir)
+    parts = [_tree_summary(nj.taxon_tree(rows, "id", ["genus"], "embedding", vectors.DIM, m), m) for m in nj.METHODS]
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.unionByName(part)
+    return everything
+
+
+def unified_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families, genera, species and specimens by unit means without local rooting, and one root in the middle of the whole."""
+    tree = nj.taxon_tree(_specimens(spark, sf_dir), "id", list(vectors.TAXA[1:]), "embedding", vectors.DIM, style="plain")
+    m = nj.measured(Scratch(spark, "unified").keep(nj.as_nodes(tree, "unified")))
+    return trees.midpoint_rooted(m).withColumn("length", F.round("length", 6))
+
+
+def unsupervised_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specimens in clusters by k-means instead of taxa."""
+    rows = _specimens(spark, sf_dir)
+    k = max(1, min(2000, rows.count() // 10))
+    tree = nj.unsupervised_tree(rows.select(F.col("faiss_id"), "embedding"), "faiss_id", "embedding", vectors.DIM, k)
+    return tree.withColumn("length", F.round("length", 6))
+
+
+def clade_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of the specimens of the family with most of them, built anew from its genera by medoids."""
+    rows = _specimens(spark, sf_dir)
+    top = rows.where("family IS NOT NULL").groupBy("family").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "family").limit(1).select("family")
+    return nj.taxon_tree(rows.join(top, "family"), "id", ["genus", "species"], "embedding", vectors.DIM, "medoid").withColumn("length", F.round("length", 6))
 
 
 QUERIES = {
@@ -222,7 +269,8 @@ QUERIES = {
     for f in (
         patristic_pairs, level_pairs, root_sums, preorder_ranges, pruned_nodes, collapsed_nodes, genus_trees, named_ancestors, named_clades,
         split_ids, split_ids_smaller, rerooted_splits, rerooted_depths, neighbour_preservation, leaf_weights, tree_midpoints, midpoint_edges, newick_tokens, taxonomy_topology, covariance_cells,
-        gaussian_distance, spherical_mean, grafted_taxa,
+        gaussian_distance, spherical_mean, grafted_taxa, genus_trees_by_method,
+        unified_tree, unsupervised_tree, clade_rebuild,
     )
 }
 

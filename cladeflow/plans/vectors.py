@@ -130,8 +130,8 @@ def nj_genera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connector trees of the species of each genus, by the distance of their mean vectors."""
     rows = _bundle(spark, sf_dir).select(taxon_name(F.col("genus")).alias("genus"), taxon_name(F.col("species")).alias("species"), "embedding")
     named = rows.where("genus IS NOT NULL AND species IS NOT NULL").withColumn("path", F.concat_ws("|", "genus", "species"))
-    means = R.centroids(named, "path", "embedding").withColumn("genus", F.split("path", r"\|")[0])
-    return nj.local_trees(means, "genus", "path", "centroid")
+    means = R.centroids(named, "path", "embedding").select(F.split("path", r"\|")[0].alias("taxon"), F.col("path").alias("child"), "n", F.col("centroid").alias("rep"))
+    return nj.connect(means, "centroid", DIM).drop("share")
 
 
 def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
