@@ -1,7 +1,9 @@
 """Personal details in free text: located, typed and replaced by placeholders.
 
 Regular expressions propose spans, validators (Luhn, mod 97, number plans,
-top-level domains) confirm or weaken them, and words close by adjust the score.
+top-level domains) confirm or weaken them, and words close by adjust the score
+of every kind. Names are found by their shape and what stands around them, not
+by lists of names.
 Escaped line breaks and quotes of notebooks kept as JSON are blanked in place
 first, so that every offset counts code points of the text as it came.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 THRESHOLD = 3
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in ("email", "phone", "id_number", "address", "person_name")}
 
-# Domains that end an address, street words, label words and given names.
+# Domains that end an address, street words, label words, and ordinary words that begin with a capital.
 TOP_LEVEL = frozenset(
     "com org net edu gov mil int info biz name io ai dev app co me tv eu uk de fr es it nl be ch at se no dk fi pl cz sk hu ro bg gr pt"
     " ie is lt lv ee si hr rs ua ru tr il in cn jp kr tw hk sg my th vn id ph au nz za ng ke gh eg ma br ar cl pe mx ca us"
@@ -29,17 +31,6 @@ STREET_AFTER = r"(?:Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Lane|Ln|Close|Way|Boul
 STREET_BEFORE = r"(?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Cc]hemin|[Ii]mpasse|[Aa]ll[ée]e|[Qq]uai|[Pp]lace)"
 STREET_FIRST = r"(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Rua|Travessa|Ulica|ul\.)"
 GERMAN = r"(?:(?:Am|An der|Im|In der|Auf der|Zum|Zur|Unter den|Alte|Neue) [A-ZÄÖÜ][\w-]+|[A-ZÄÖÜ][\w-]*(?:stra(?:ß|ss)e|str\.|allee|weg|gasse|platz|ring|damm|ufer|steig|hof|chaussee))"
-GIVEN = frozenset(
-    "aisha ahmed ali amara amina ana anders andre andrea andrei anna anne anton antonio ava bea beatriz ben bjorn boris carla carlos"
-    " carmen chen chiara chloe clara claire daniel daria david diego dmitri eduardo elena eli elif elisa emil emilia emily emma erik"
-    " eva farah fatima felix finn francesca freya gabriel george giulia grace greta hana hannah hans hassan helen henrik hiro hugo"
-    " ibrahim ida ines ingrid irina isabel ivan ivo jack jakob james jan jana jean jin joao john jonas jorge jose juan julia kai karl"
-    " katarina kenji kofi kwame lars laura lea lena leila leo liam lin lina linda lisa lucas lucia lucja luis luca maja marco maria"
-    " marie marta martin mary mateo maya mei mia michael miguel mila milan mina mohammed nadia naomi natalia nina nikolai noah noor"
-    " nora olga oliver olivia omar oscar oskar otto pablo paul pavel pedro peter petra pierre priya rafael rahul ravi rita robert"
-    " rosa ruth samir samuel sanna sara sarah sergei sofia stefan sven tara theo thomas tomas uma vera victor wei william yan yara"
-    " yuki yusuf zara zoe".split()
-)
 NOT_A_NAME = frozenset(
     "the a an in out cell table figure random monte forest carlo last next first note notes lesson chapter section version traceback"
     " error warning info debug most recent call analysis report thanks questions samples collector written author read return each"
@@ -50,7 +41,7 @@ NOT_A_NAME = frozenset(
 )
 
 # Leading characters come before the checks of what precedes them, so that a search skips to candidates.
-AT = re.compile(r"@|[\[(][ ]?at[ ]?[\])]", re.IGNORECASE)
+AT = re.compile(r"@|%40|[\[(][ ]?at[ ]?[\])]", re.IGNORECASE)
 LOCAL = re.compile(r"\w[\w.+'-]{0,63}(?=[ ]?\Z)")
 DOMAIN = re.compile(r"[ ]?[\w-]+(?:(?:\.|[ ]?[\[(][ ]?dot[ ]?[\])][ ]?)[\w-]+)+", re.IGNORECASE)
 PHONE = re.compile(
@@ -122,12 +113,23 @@ NAME = re.compile(
     rf"|{REST}{GAP}(?:{CAPITAL}\.{GAP})?{PART})(?![\w@/=(\[{MARK}])"
 )
 CUE_BEFORE = re.compile(
-    r"(?:(?:reviewed|written|prepared|collected|identified|signed|sent|maintained|created|edited) by|\bgo to|\bthanks to|\bask|\bcontact|\bcollector"
-    r"|\bresponsable|\bansprechpartner(?:in)?|\bauthors?|\bsigned|\bdr\.?|\bprof\.?|\bmrs?\.?|\bms\.?|\bowner|\bcurator|\bname['\"]?|\brow \d+"
-    r"|\bgit_user\(|\buser|\blast week|\bwhile|\bregards|\bsincerely|\bdear|\bspoke (?:to|with)|\bmet)[\s:=,]{0,3}['\"]?\s?$",
+    r"(?:(?:reviewed|written|prepared|collected|identified|signed|sent|maintained|created|edited|checked|made) by|\b(?:go|back|over) to|\bthanks to|\bask|\bcontact"
+    r"|\bcollector|\bresponsable|\bansprechpartner(?:in)?|\bauthors?|\bsigned|\bdr\.?|\bprof\.?|\bmrs?\.?|\bms\.?|\bowner|\bcurator|\bname['\"]?|user\(?"
+    r"|\bregards|\bsincerely|\bdear|\bspoke (?:to|with)|\bmet)[\s:=,]{0,3}['\"]?\s?$",
     re.IGNORECASE,
 )
-CUE_AFTER = re.compile(r"[ ,;(<|]{0,3}(?:tel\b|call\b|phone\b|mailto|<|recounted|was\b|wrote|said|asked|\(tel)", re.IGNORECASE)
+CUE_AFTER = re.compile(r"[ ,;(<|]{0,3}(?:tel\b|call\b|phone\b|mailto|<|\(tel)", re.IGNORECASE)
+# Running text: a name follows a small word that isn't an article or a preposition, and someone acts.
+PROSE_BEFORE = re.compile(r"(?<![\w.])(?!(?:the|a|an|this|each|every|our|your|its|all|in|at|on|of|from|near|into|with|per|by|via)\b)[a-z]{2,} $")
+ACTS = re.compile(r" (?:was|is|has|had|will|wrote|said|[a-z]{3,}ed)\b(?! (?:fitted|trained|run|used|computed)\b)")
+ROW_BEFORE = re.compile(r"(?:^|\n|\\n)\s*(?:row )?\d+[ :;|,\t]*$")
+# Words that speak for a kind of detail within NEAR characters on the line, or against any right before it.
+FOR = {
+    "email": re.compile(r"(?i)(?<![a-z])(?:e-?mail|mail|mailto|contact|write|user|author)(?![a-z])"),
+    "phone": PHONE_WORD,
+    "address": re.compile(r"(?i)(?<![a-z])(?:address|adresse|lives?|stored|ship|post|flat|visit|direcci[oó]n)(?![a-z])"),
+}
+AGAINST = re.compile(r"(?i)(?<![a-z])(?:version|serial|seed|accession|isbn|issn|doi|checksum|sha\d*|md5|build|commit|ticket)(?: (?:no\.?|number|id))?['\"]?[ ]?[:=#]?[ ]?['\"]?$")
 CONTEXT = 32
 
 
@@ -212,11 +214,11 @@ def _mails(text: str) -> Iterator[tuple[int, int, int]]:
         first = max(0, m.start() - 66)
         local = LOCAL.search(text[first : m.start()])
         domain = DOMAIN.match(text, m.end())
-        if not local or not domain or (m.group(0) == "@" and (local.end() != m.start() - first or domain.group(0)[0] == " ")):
+        if not local or not domain or (m.group(0) in ("@", "%40") and (local.end() != m.start() - first or domain.group(0)[0] == " ")):
             continue
         end = domain.end() - (len(domain.group(0)) - len(domain.group(0).rstrip("-_")))
         if re.split(r"[.\])\[( ]+", text[m.end() : end])[-1].lower() in TOP_LEVEL:
-            yield first + local.start(), end, 5
+            yield first + local.start(), end, 3
 
 
 def _ids(text: str) -> Iterator[tuple[int, int, int]]:
@@ -275,7 +277,7 @@ def _phones(text: str) -> Iterator[tuple[int, int, int]]:
     for m in PHONE.finditer(text):
         n = sum(c.isdigit() for c in m.group(0))
         if 9 <= n <= 15:
-            yield m.start(), m.end(), 4
+            yield m.start(), m.end(), 3
 
 
 def _names(text: str, others: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -291,13 +293,12 @@ def _names(text: str, others: np.ndarray) -> Iterator[tuple[int, int, int]]:
             # What follows the ordinary word may be a name itself.
             at = start + len(parts[0])
             continue
-        full = [p for p in plain if len(p) > 1]
-        score = 1 if full else 0
+        score = 1 if any(len(p) > 1 for p in plain) else 0
         before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-        if any(p in GIVEN for p in full):
-            score += 2
         if CUE_BEFORE.search(before):
             score += 2
+        elif PROSE_BEFORE.search(before) and ACTS.match(after):
+            score += 2
         if CUE_AFTER.match(after):
             score += 1
         if start - last_end <= 5 and text[last_end:start].strip() in ("and", "&", ",", "y", "et", "und"):
@@ -312,6 +313,16 @@ def _names(text: str, others: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield start, end, score
 
 
+def _by_context(text: str, kind: str, start: int, end: int, score: int) -> int:
+    """The score, one more with a word for the kind close by on the line, two less with a word against any right before."""
+    first = max(text.rfind("\n", 0, start) + 1, start - NEAR)
+    last = text.find("\n", end)
+    last = min(last if last >= 0 else len(text), end + NEAR)
+    around = text[first:start] + " " + text[end:last]
+    # A number's label has been counted already.
+    return score + bool(kind in FOR and FOR[kind].search(around)) - 2 * bool(AGAINST.search(text, first, start))
+
+
 def find_details(text: str | None) -> list[tuple[str, int, int]]:
     """(type, start, end) of every detail, in order and without overlaps; none in a null or empty text."""
     if not text:
@@ -321,7 +332,7 @@ def find_details(text: str | None) -> list[tuple[str, int, int]]:
     found: list[tuple[int, int, int, str]] = []
     sources = (("email", _mails(work)), ("id_number", _ids(work)), ("phone", _phones(work)), ("address", _addresses(work)))
     for kind, source in sources:
-        found += [(s, e, score, kind) for s, e, score in source]
+        found += [(s, e, _by_context(work, kind, s, e, score), kind) for s, e, score in source]
     starts = np.array(sorted(x[0] for x in found), np.int64)
     found += [(s, e, score, "person_name") for s, e, score in _names(work, starts)]
     weak = [(s, e, score, kind) for kind, source in (("phone", _weak_phones(work)), ("id_number", _weak_ids(work))) for s, e, score in source]

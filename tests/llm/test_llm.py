@@ -346,6 +346,29 @@ def test_details_by_words_and_checksums(text, kind, value):
     assert (kind, value) in [(k, text[s:e]) for k, s, e in pii.find_details(text)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        # None of these names is in any list of the module.
+        ("Reviewed by Zbigniew Kowalczyk, tel. 12", "person_name", "Zbigniew Kowalczyk"),
+        ("we kept the plots that Thandiwe Mokoena plotted again", "person_name", "Thandiwe Mokoena"),
+        ("| Ngozi Okonkwo-Bell | ngozi@site.example |", "person_name", "Ngozi Okonkwo-Bell"),
+        ("Dear Prof. Wolfram Eichendorff, thanks", "person_name", "Wolfram Eichendorff"),
+        ("collector: Tuominen, Aino", "person_name", "Tuominen, Aino"),
+        ("0  T. Vasilakis  t.vasilakis%40lab-site.test  3", "email", "t.vasilakis%40lab-site.test"),
+    ],
+)
+def test_details_of_unlisted_names(text, kind, value):
+    assert (kind, value) in [(k, text[s:e]) for k, s, e in pii.find_details(text)]
+
+
+def test_context_weighs_on_every_kind():
+    assert pii.find_details("serial = +1 212 555 0184") == [] and pii.find_details("my number is +1 212 555 0184")
+    assert pii.find_details("version: 12 Old Mill Road") == [] and pii.find_details("at 12 Old Mill Road")
+    for text in ("the Gradient Boosting was fitted", "in New Harbour was", "Random Forest was used"):
+        assert pii.find_details(text) == []
+
+
 def test_weak_shapes_need_their_words_and_checks():
     for text in ("44051401359 | reads | Warsaw", "44051401358 | PESEL | Warsaw", "PESEL 44051401358", "serial 0171-2345678", "n = 212 555 0123"):
         assert pii.find_details(text) == []
