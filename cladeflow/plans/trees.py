@@ -219,11 +219,10 @@ def _specimens(spark, sf_dir):
 
 
 def _tree_summary(tree, name):
-    """Size, clamped lengths, total length and height of a tree, and its tips below the root."""
-    m = nj.measured(Scratch(tree.sparkSession, "built").keep(nj.as_nodes(tree, name)))
-    sums = tree.agg(F.count(F.lit(1)).alias("n_edges"), F.sum("clamped").alias("n_clamped"), F.round(F.sum("length"), 4).alias("total"))
-    tips = m.leaves().agg(F.count(F.lit(1)).alias("n_tips"), F.round(F.max("distance"), 4).alias("height"))
-    return sums.join(tips).select(F.lit(name).alias("method"), "n_tips", "n_edges", "n_clamped", "total", "height")
+    """Edges, clamped lengths and total length of a tree, by the rank of what its connectors join."""
+    return tree.groupBy(F.lit(name).alias("method"), "rank").agg(
+        F.count(F.lit(1)).alias("n_edges"), F.sum("clamped").alias("n_clamped"), F.round(F.sum("length"), 4).alias("total"), F.count_if(F.col("child").contains("#")).alias("n_joints")
+    )
 
 
 def grafted_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,10 +231,10 @@ def grafted_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.withColumn("length", F.round("length", 6))
 
 
-def genus_trees_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five representations on the same specimens: trees of genera and their specimens, summed up."""
+def family_trees_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three representations on the same specimens: trees of families and their specimens, summed up; Gaussians and spherical means take minutes more."""
     rows = _specimens(spark, sf_dir)
-    parts = [_tree_summary(nj.taxon_tree(rows, "id", ["genus"], "embedding", vectors.DIM, m), m) for m in nj.METHODS]
+    parts = [_tree_summary(nj.taxon_tree(rows, "id", ["family"], "embedding", vectors.DIM, m), m) for m in ("centroid", "medoid", "weighted")]
     everything = parts[0]
     for part in parts[1:]:
         everything = everything.unionByName(part)
@@ -269,7 +268,7 @@ QUERIES = {
     for f in (
         patristic_pairs, level_pairs, root_sums, preorder_ranges, pruned_nodes, collapsed_nodes, genus_trees, named_ancestors, named_clades,
         split_ids, split_ids_smaller, rerooted_splits, rerooted_depths, neighbour_preservation, leaf_weights, tree_midpoints, midpoint_edges, newick_tokens, taxonomy_topology, covariance_cells,
-        gaussian_distance, spherical_mean, grafted_taxa, genus_trees_by_method,
+        gaussian_distance, spherical_mean, grafted_taxa, family_trees_by_method,
         unified_tree, unsupervised_tree, clade_rebuild,
     )
 }

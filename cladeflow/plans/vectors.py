@@ -11,6 +11,7 @@ from cladeflow.operators import hierarchy, nj, pairing, trees
 from cladeflow.operators import representations as R
 from cladeflow.plans.problems import _SQL_WALK, sql_clean, sql_taxon
 from cladeflow.session import Scratch, stored, table
+from cladeflow.sources import contracts
 
 DIM = 64
 PAIRS = 20_000
@@ -126,6 +127,29 @@ def genus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("family", "genus").agg(F.count(F.lit(1)).alias("n_eligible"), F.count("known").alias("n_matched"), F.count("taken").alias("n_analysed"))
 
 
+def one_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process ids by the number of species that the bundles name for them."""
+    rows = table(spark, sf_dir, "embedding_bundle").select(F.upper(blank_clean(F.col("ids"))).alias("id"), blank_clean(F.col("species")).alias("species"))
+    return contracts.one_label(rows.where("id IS NOT NULL"), "id", "species")
+
+
+def cohort_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genera of specimens by the records and by the bundles: ids of one side only, and other genera."""
+    records = table(spark, sf_dir, "bcdm_records").select(F.upper(blank_clean(F.col("processid"))).alias("id"), taxon_name(F.col("genus")).alias("genus"), "record_no")
+    bundle = table(spark, sf_dir, "embedding_bundle").select(F.upper(blank_clean(F.col("ids"))).alias("id"), taxon_name(F.col("genus")).alias("genus"), "faiss_id")
+    first = lambda rows, order: rows.where("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("genus"), order).alias("g")).select("id", "g.genus")
+    return contracts.same_cohort(first(records, "record_no"), first(bundle, "faiss_id"), "id", "genus")
+
+
+def vectors_with_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of two orders' specimens with the length of their record's sequence, if that is 50 to 100 letters."""
+    rows = _bundle(spark, sf_dir).select("faiss_id", F.upper(blank_clean(F.col("ids"))).alias("id"), taxon_name(F.col("tax_order")).alias("tax_order"), contracts.packed(F.slice("embedding", 1, 2)).alias("head"))
+    records = table(spark, sf_dir, "bcdm_records").select(F.upper(blank_clean(F.col("processid"))).alias("id"), "record_no", "nuc").where("id IS NOT NULL")
+    first = records.groupBy("id").agg(F.min_by(F.struct("nuc"), "record_no").alias("r")).select("id", "r.nuc")
+    kept = contracts.length_range(rows.join(first, "id"), "nuc", 50, 100)
+    return kept.select("faiss_id", contracts.plain_label(F.concat_ws(":", "tax_order", "id")).alias("label"), F.length("nuc").alias("n"), "head")
+
+
 def nj_genera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connector trees of the species of each genus, by the distance of their mean vectors."""
     rows = _bundle(spark, sf_dir).select(taxon_name(F.col("genus")).alias("genus"), taxon_name(F.col("species")).alias("species"), "embedding")
@@ -227,7 +251,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_coverage, vector_centroid, centroid_of_centroids, cosine_medoid, genus_medoid, covariance_trace, knn_exact, nearest_centroid,
-        vector_pairs, distance_fit, relation_subsets, genus_pairs, record_sample, genus_coverage, rank_medians, nj_genera, tree_summary, subtree_sizes, lca_pairs,
+        vector_pairs, distance_fit, relation_subsets, genus_pairs, record_sample, genus_coverage, rank_medians, one_label_ids, cohort_differences,
+        vectors_with_records, nj_genera, tree_summary, subtree_sizes, lca_pairs,
         taxon_purity, purity_summary, relation_bins,
     )
 }
@@ -301,6 +326,12 @@ SQL = {
     "genus_pairs": f"""WITH u AS (SELECT faiss_id, {sql_taxon("genus")} AS genus, embedding::DOUBLE[] AS e, count(*) OVER (PARTITION BY {sql_taxon("genus")}) AS n FROM embedding_bundle WHERE {_USABLE})
         SELECT a.genus, count(*) AS n_pairs, round(avg(1 - list_cosine_similarity(a.e, b.e)), 6) AS mean_cosine FROM u a JOIN u b ON a.genus = b.genus AND a.faiss_id < b.faiss_id
         WHERE a.n <= 50 GROUP BY 1""",
+    "one_label_ids": f"""SELECT upper({sql_clean("ids")}) AS id, count(DISTINCT lower({sql_clean("species")})) AS n_labels, min({sql_clean("species")}) AS species
+        FROM embedding_bundle WHERE {sql_clean("ids")} IS NOT NULL GROUP BY 1""",
+    "cohort_differences": f"""WITH r AS (SELECT id, genus FROM (SELECT upper({sql_clean("processid")}) AS id, {sql_taxon("genus")} AS genus, row_number() OVER (PARTITION BY upper({sql_clean("processid")}) ORDER BY record_no) AS k FROM bcdm_records) WHERE k = 1 AND id IS NOT NULL),
+        b AS (SELECT id, genus FROM (SELECT upper({sql_clean("ids")}) AS id, {sql_taxon("genus")} AS genus, row_number() OVER (PARTITION BY upper({sql_clean("ids")}) ORDER BY faiss_id) AS k FROM embedding_bundle) WHERE k = 1 AND id IS NOT NULL)
+        SELECT problem, count(*) AS n FROM (SELECT CASE WHEN r.id IS NULL THEN 'only_second' WHEN b.id IS NULL THEN 'only_first' WHEN r.genus IS DISTINCT FROM b.genus THEN 'label_differs' END AS problem
+          FROM r FULL JOIN b ON r.id = b.id) WHERE problem IS NOT NULL GROUP BY 1""",
     "record_sample": f"SELECT faiss_id, ids, bundle_no FROM embedding_bundle WHERE {_USABLE} ORDER BY md5('rows-1:' || faiss_id), faiss_id LIMIT 200",
     "genus_coverage": f"""WITH s AS (SELECT faiss_id FROM embedding_bundle WHERE {_USABLE} ORDER BY md5('rows-1:' || faiss_id), faiss_id LIMIT 200),
         k AS (SELECT DISTINCT upper({sql_clean("processid")}) AS id FROM bcdm_records)
