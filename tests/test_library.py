@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import seq
 from cladeflow.functions import vectors as V
-from cladeflow.operators import nj, representations, selection, taxonomy
+from cladeflow.operators import nj, pairing, representations, selection, taxonomy
 
 
 def test_primers_and_windows(spark):
@@ -28,6 +28,25 @@ def test_reverse_complement_and_distance(spark):
     assert r.rc == "NYACGT" and (r.n.sites, r.n.ts, r.n.tv) == (8, 1, 0)
 
 
+def test_pairs_of_large_groups_are_counted_without_rows(spark):
+    # One group beyond the pair-by-pair way and longer than one product holds, and small ones; the plan has no join that makes rows of pairs.
+    rng = np.random.default_rng(3)
+    letters = np.array(list("ACGTN-é"))
+    group = lambda i: "hot" if i < 700 else ["g1", "g2", "g3"][i % 3] if i < 760 else None
+    data = [(group(i), i - 50, "".join(rng.choice(letters, 300 + i % 2 if i < 700 else i % 9))) for i in range(770)] + [("g1", None, "ACGT"), ("g1", 999, None)]
+    rows = spark.createDataFrame(data, "g string, k bigint, s string").repartition(3)
+    counted = seq.site_counts_within_groups(rows, "g", "k", "s", 5, 2)
+    got = {}
+    for r in counted.collect():
+        got[r.g, r.sites, r.ts, r.tv] = got.get((r.g, r.sites, r.ts, r.tv), 0) + r.n
+    pairs = pairing.within_groups(rows.where("s IS NOT NULL"), "g", "k", 5).select("g", seq.site_counts(F.col("s"), F.col("s_2")).alias("c"))
+    want = {}
+    for r in pairs.collect():
+        want[r.g, r.c.sites, r.c.ts, r.c.tv] = want.get((r.g, r.c.sites, r.c.ts, r.c.tv), 0) + 1
+    assert got == want and sum(want.values()) > 140 * 560 + 140 * 139 // 2
+    assert "Join" not in counted._jdf.queryExecution().toString()
+
+
 def test_neighbour_joining():
     edges, clamped = nj.neighbour_joining(np.array([[0, 1, 1], [1, 0, 3], [1, 3, 0.0]]))
     length = {c: w for _, c, w in edges}
