@@ -1,16 +1,17 @@
-"""Groups of mutually similar vectors: a neighbour graph by descent, then communities by modularity.
+"""Groups of mutually similar vectors: a neighbour graph by descent, communities by modularity, then an exact check.
 
 Rows alike within a block of arrivals contract to a super-node first, which is
 a map-side combine: a huge group leaves one row per block. Neighbour lists start
 from a few random-projection bucketings and descend: neighbours of a node are
 compared with each other until lists hardly change. Links of the lists that
 reach the threshold form the graph whose communities are merged as long as
-modularity gains. An exact check follows, as a list holds a bounded number of
-neighbours: representatives of the communities are compared in so many
-bucketings that a pair of at least ``threshold`` meets in none with a chance of
-MISS at most, whatever the table's size, and those alike are joined.
-Vectors travel as 16-bit floats (in lists as 8-bit numbers); links near the
-threshold are measured with the full ones.
+modularity gains. All that only gathers what is surely linked. The exact check
+finds every other link, between any two rows: each community's rows lie in balls
+of known reach, each row is compared with every ball's centre, and only where
+the reach allows a link the ball's rows are measured. Communities with a link
+are joined, so no pair that reaches the threshold is apart.
+Vectors travel as 16-bit floats (in lists as 8-bit numbers); what is near the
+threshold is measured with the vectors as they are given.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from cladeflow.session import Scratch
 
@@ -37,6 +39,11 @@ MISS = 1e-6
 RESOLUTION = 1.0
 MARGIN = 0.002
 CODE_MARGIN = 0.02
+CODE_BOUND = 0.035  # what rounding both to 8-bit numbers changes a cosine near the threshold by, at most
+LIST_BOUND = 0.032  # the same upwards: what a cosine of the lists is too large by, at most
+HALF_ANGLE = 0.00055  # radians by which rounding to 16-bit floats turns a vector, at most
+WIDE = math.radians(25)
+SALTS = 16
 SEED = 20240
 
 
@@ -58,6 +65,26 @@ def _leaders(unit: np.ndarray, threshold: float) -> np.ndarray:
     return leader
 
 
+def _raw_kind(rows: DataFrame, vector: str) -> type:
+    """The numbers in which a column's vectors travel without loss."""
+    return np.float32 if isinstance(rows.schema[vector].dataType.elementType, FloatType) else np.float64
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows with rows, summed up in order of the dimensions as SQL does."""
+    total, p, q = (np.zeros(len(x)) for _ in range(3))
+    for a, b in zip(x.astype(np.float64).T, y.astype(np.float64).T):
+        total += a * b
+        p += a * a
+        q += b * b
+    return total / np.sqrt(p * q)
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors of the usable rows: those with an id and DIMENSIONS finite numbers that aren't all zero."""
     for batch in batches:
@@ -73,7 +100,7 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def contract_blocks(rows: DataFrame, key: str, vector: str, threshold: float, block: int) -> DataFrame:
-    """(id, rep, vec, full): usable rows with their super-node; only super-nodes carry vectors. A block costs the same whatever the table's size."""
+    """(id, rep, vec, full, half): usable rows with their super-node and vector; only super-nodes have ``vec`` and ``full``. A block costs the same whatever the table's size."""
 
     def solve(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
@@ -82,8 +109,9 @@ def contract_blocks(rows: DataFrame, key: str, vector: str, threshold: float, bl
         rep = _leaders(unit, threshold)
         own = rep == np.arange(len(ids))
         cells = lambda m: pa.array([r.tobytes() if o else None for r, o in zip(m, own)], pa.binary())
+        half = pa.array([r.tobytes() for r in unit.astype(np.float16)], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(ids[rep]), cells(unit.astype(np.float16)), cells(unit)], names=["id", "rep", "vec", "full"]
+            [pa.array(ids), pa.array(ids[rep]), cells(unit.astype(np.float16)), cells(unit), half], names=["id", "rep", "vec", "full", "half"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +127,7 @@ def contract_blocks(rows: DataFrame, key: str, vector: str, threshold: float, bl
         if held:
             yield solve(np.concatenate(ids), np.concatenate(parts))
 
-    return rows.select(F.col(key).cast("bigint").alias("id"), vector).mapInArrow(run, "id bigint, rep bigint, vec binary, full binary")
+    return rows.select(F.col(key).cast("bigint").alias("id"), vector).mapInArrow(run, "id bigint, rep bigint, vec binary, full binary, half binary")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,7 +406,8 @@ def sure_links(links: DataFrame, nodes: DataFrame, threshold: float, margin: flo
     )
     unsure = pairs.where(F.col("w") < threshold + margin)
     sure = pairs.where(F.col("w") >= threshold + margin)
-    if not unsure.limit(1).count():
+    # Asked of the links, not of the pairs, which would be grouped for it.
+    if links.where((F.col("sim") >= threshold - margin) & (F.col("sim") < threshold + margin)).isEmpty():
         return sure
 
     @F.pandas_udf("double")
@@ -399,7 +428,14 @@ def sure_links(links: DataFrame, nodes: DataFrame, threshold: float, margin: flo
 
 
 def communities(links: DataFrame, scratch: Scratch, resolution: float = RESOLUTION) -> DataFrame:
-    """(id, label) of the linked nodes: communities merged as long as modularity gains; ``label`` is the least id.
+    """(id, label) of the linked nodes, as ``parted`` gives them."""
+    labels, between = parted(links, scratch, resolution)
+    scratch.drop(between)
+    return labels
+
+
+def parted(links: DataFrame, scratch: Scratch, resolution: float) -> tuple[DataFrame, DataFrame]:
+    """(id, label) of the linked nodes: communities merged as long as modularity gains; ``label`` is the least id. And (a, b, w) of links left between labels.
 
     Merging A and B gains w(A,B)/m - resolution * K(A) * K(B) / (2 m^2), m being
     the weight of all links and K a community's strength. In each round every
@@ -421,9 +457,9 @@ def communities(links: DataFrame, scratch: Scratch, resolution: float = RESOLUTI
         ways = weighed.select(F.col("a").alias("id"), F.col("b").alias("to"), "gain").unionByName(weighed.select(F.col("b").alias("id"), F.col("a").alias("to"), "gain"))
         chosen = scratch.keep(ways.groupBy("id").agg(F.max_by("to", F.struct("gain", -F.least("id", "to"), -F.greatest("id", "to"))).alias("to")))
         if chosen.isEmpty():
-            for done in (chosen, edges, strength):
+            for done in (chosen, strength):
                 scratch.drop(done)
-            return labels
+            return labels, edges
         back = chosen.select(F.col("id").alias("to"), F.col("to").alias("id"), F.lit(True).alias("mutual"))
         first = chosen.join(back, ["id", "to"], "left").where(F.col("mutual").isNull() | (F.col("id") > F.col("to")))
         hooks = scratch.keep(first.select("id", "to"))
@@ -465,42 +501,263 @@ def communities(links: DataFrame, scratch: Scratch, resolution: float = RESOLUTI
         labels, edges, strength = following
 
 
+def balls(labelled: DataFrame, threshold: float) -> DataFrame:
+    """(ball, label, id, half, alike, center, least): rows of (label, rep, id, half) with a ball of their label that holds them.
+
+    The first row of a ball has its centre and ``least``, the cosine with the
+    centre that any vector alike to a row of the ball reaches. Of a label with a
+    wide reach each super-node is a ball of its own. ``alike`` rows are surely
+    alike with the row that gives the label.
+    """
+    angle = math.acos(threshold) + 2 * HALF_ANGLE
+
+    def measured(unit: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        size = np.diff(np.append(starts, len(unit)))
+        center = np.add.reduceat(unit, starts)
+        norm = np.linalg.norm(center, axis=1, keepdims=True)
+        center = np.where(norm > 1e-6, center / np.maximum(norm, 1e-6), unit[starts]).astype(np.float16)
+        cosine = np.einsum("ij,ij->i", unit, np.repeat(_unit(center), size, axis=0))
+        return size, center, np.arccos(np.clip(np.minimum.reduceat(cosine, starts), -1, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_of, head = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, rep, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            unit = _unit(_matrix(batch.column(3)))
+            first = np.concatenate([[True], label[1:] != label[:-1]])
+            runs = np.flatnonzero(first)
+            size, _, reach = measured(unit, runs)
+            # The row that gives a label is its first; a label that began before this batch has it from there, or not at all.
+            heads, known = unit[runs], ids[runs] == label[runs]
+            if not known[0] and head_of == label[0]:
+                heads[0], known[0] = head, True
+            head_of, head = (label[-1], heads[-1].copy()) if known[-1] else (None, None)
+            alike = (np.einsum("ij,ij->i", unit, np.repeat(heads, size, axis=0)) >= threshold + MARGIN) & np.repeat(known, size)
+            wide = np.repeat(reach > WIDE, size)
+            starts = np.flatnonzero(first | (wide & np.concatenate([[True], rep[1:] != rep[:-1]])))
+            size, center, reach = measured(unit, starts)
+            centers, leasts = [None] * len(ids), [None] * len(ids)
+            for at, c, v in zip(starts.tolist(), center, np.cos(np.minimum(math.pi, reach + angle)).tolist()):
+                centers[at], leasts[at] = c.tobytes(), v
+            columns = [pa.array(np.repeat(ids[starts], size)), batch.column(0), batch.column(2), batch.column(3), pa.array(alike), pa.array(centers, pa.binary()), pa.array(leasts, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ball", "label", "id", "half", "alike", "center", "least"])
+
+    ordered = labelled.select("label", "rep", "id", "half").repartitionByRange("label", "rep", "id").sortWithinPartitions("label", "rep", "id")
+    return ordered.mapInArrow(run, "ball bigint, label bigint, id bigint, half binary, alike boolean, center binary, least double")
+
+
+def near_balls(balled: DataFrame, most: int = 65_536) -> DataFrame:
+    """(id, label, ball, code): each row, with its vector in 8-bit numbers, and every ball of a greater label that may hold a row alike to it.
+
+    Rows are spread over blocks and balls over parts of about ``most``; each block
+    meets each part in a task that holds the part and lets the block pass.
+    """
+    n, m = balled.agg(F.count(F.lit(1)), F.count("center")).first()
+    parts = max(1, -(-m // most))
+    tasks = max(balled.sparkSession.sparkContext.defaultParallelism, n * m // 10_000_000_000)
+    blocks = max(1, -(-tasks // parts))
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    held = balled.where("center IS NOT NULL").select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), of("ball", parts).alias("part"), F.lit(0).alias("side"), "label", F.col("ball").alias("id"), F.col("center").alias("vec"), "least"
+    )
+    passing = balled.select(
+        of("id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), "label", "id", F.col("half").alias("vec"), F.lit(None).cast("double").alias("least")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, collected, centers = None, [], None
+        for batch in batches:
+            block, part, side, label, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            cuts = (np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+                if lo == hi:
+                    continue
+                if cell != (block[lo], part[lo]):
+                    cell, collected, centers = (block[lo], part[lo]), [], None
+                unit = _unit(_matrix(batch.column(5).slice(lo, hi - lo))).astype(np.float32)
+                if side[lo] == 0:
+                    collected.append((label[lo:hi], ids[lo:hi], unit, batch.column(6).slice(lo, hi - lo).to_numpy(zero_copy_only=False)))
+                    continue
+                if not collected:
+                    continue
+                if centers is None:
+                    centers = tuple(np.concatenate(c) for c in zip(*collected))
+                    limit = (centers[3] - 1e-5).astype(np.float32)
+                for r in range(lo, hi, 512):
+                    rows = unit[r - lo : r - lo + 512]
+                    for c in range(int(np.searchsorted(centers[0], label[r], "right")), len(limit), 2048):
+                        near = np.flatnonzero(rows @ centers[2][c : c + 2048].T >= limit[c : c + 2048])
+                        if not len(near):
+                            continue
+                        i, j = np.divmod(near, min(2048, len(limit) - c))
+                        i, j = i + r, j + c
+                        ahead = centers[0][j] > label[i]
+                        if ahead.any():
+                            i, j = i[ahead], j[ahead]
+                            code = pa.array([c.tobytes() for c in np.rint(unit[i - lo] * 127).astype(np.int8)], pa.binary())
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(label[i]), pa.array(centers[1][j]), code], names=["id", "label", "ball", "code"])
+
+    spread = held.unionByName(passing).repartition(4 * blocks * parts, "block", "part").sortWithinPartitions("block", "part", "side", "label")
+    return spread.mapInArrow(run, "id bigint, label bigint, ball bigint, code binary")
+
+
+def given_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, raw) of the usable rows: the vectors without loss."""
+    kind = _raw_kind(rows, vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _usable(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], names=["id", "raw"])
+
+    return rows.select(F.col(key).cast("bigint").alias("id"), vector).mapInArrow(run, "id bigint, raw binary")
+
+
+def ball_links(near: DataFrame, balled: DataFrame, given: DataFrame, kind: type, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b, w): pairs of labels of which a row and a row of a ball near it are alike. What isn't clear by the rounded vectors is measured with the ``given`` vectors."""
+
+    def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sims = _cosines(_matrix(batch.column(4), np.int8), _matrix(batch.column(5)))
+            keep = pa.array(np.flatnonzero(sims >= threshold - CODE_BOUND))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(keep) for c in range(4)], pa.array(sims).take(keep)], names=["a", "b", "id", "other", "sim"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keep = pa.array(np.flatnonzero(_cosines(_matrix(batch.column(2), kind), _matrix(batch.column(3), kind)) >= threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in range(2)], names=["a", "b"])
+
+    ends = near.join(balled.select("ball", F.col("label").alias("b"), F.col("id").alias("other"), F.col("half").alias("other_half")), "ball")
+    pairs = ends.select(F.col("label").alias("a"), "b", "id", "other", "code", "other_half")
+    alike = scratch.keep(pairs.mapInArrow(rough, "a bigint, b bigint, id bigint, other bigint, sim double"))
+    sure = alike.where(F.col("sim") >= threshold + CODE_BOUND).select("a", "b").distinct()
+    unsure = alike.where(F.col("sim") < threshold + CODE_BOUND).join(sure, ["a", "b"], "left_anti")
+    if unsure.isEmpty():
+        return sure.withColumn("w", F.lit(1.0))
+    full = unsure.join(given, "id").join(given.select(F.col("id").alias("other"), F.col("raw").alias("other_raw")), "other").select("a", "b", "raw", "other_raw")
+    return sure.unionByName(full.mapInArrow(exact, "a bigint, b bigint").distinct()).withColumn("w", F.lit(1.0))
+
+
+def _relabelled(labelled: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels with links among them become their least."""
+    joined = communities(links, scratch, 0.0).select(F.col("id").alias("label"), F.col("label").alias("_l"))
+    return labelled.join(joined, "label", "left").withColumn("was", F.col("label")).withColumn("label", F.coalesce("_l", "label")).drop("_l")
+
+
+def _with_heads(balled: DataFrame, threshold: float) -> DataFrame:
+    """(id, label, alike): rows that didn't see the row of their label, as it was in another task, are compared with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                alike = _cosines(_matrix(batch.column(2)), _matrix(batch.column(3))) >= threshold + MARGIN
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], names=["id", "label", "alike"])
+
+    missing = balled.where("NOT alike")
+    heads = balled.where("id = label").join(missing.select("label").distinct(), "label", "left_semi").select("label", F.col("half").alias("head"))
+    seen = missing.join(heads, "label").select("id", "label", "half", "head").mapInArrow(run, "id bigint, label bigint, alike boolean")
+    return balled.where("alike").select("id", "label", "alike").unionByName(seen)
+
+
 def cluster(
     rows: DataFrame, key: str = "faiss_id", vector: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, resolution: float = RESOLUTION
 ) -> DataFrame:
-    """(id, cluster_id) of every usable vector; ``cluster_id`` is the least id of its group, its own if alone.
+    """(id, cluster_id, alike) of every usable vector; ``cluster_id`` is the least id of its group, its own if alone.
 
-    Null, short, long, non-finite and all-zero vectors are in no group, nor are
-    rows without id. Equal vectors are alike. An empty table gives an empty result.
+    Two vectors with a cosine of at least ``threshold`` are in the same group,
+    whatever lies between. ``alike``: surely alike with the row of that id (false
+    may be so by a hair or not at all). Null, short, long, non-finite and all-zero
+    vectors are in no group, nor are rows without id. Equal vectors are alike. An
+    empty table gives an empty result.
     """
     scratch = Scratch(rows.sparkSession, "clusters")
-    members = scratch.keep(contract_blocks(rows, key, vector, threshold, block))
+    # What is doubtful isn't gathered here; the check measures it.
+    members = scratch.keep(contract_blocks(rows, key, vector, threshold + MARGIN, block))
     nodes = members.where("vec IS NOT NULL").select("id", "vec", "full")
     lists = scratch.keep(neighbour_descent(nodes, scratch, threshold))
-    found = communities(sure_links(lists, nodes, threshold, CODE_MARGIN), scratch, resolution)
-    # The check: each community is represented by the node that gives its label.
-    rest = scratch.keep(nodes.join(found.where("id != label"), "id", "left_anti"))
-    links = scratch.keep(projection_links(rest, *bucketings(rest.count(), threshold), START_TABLES, threshold))
-    checked = communities(sure_links(links, rest, threshold), scratch, 0.0)
-    c = found.select(F.col("id").alias("rep"), F.col("label").alias("l1"))
-    f = checked.select(F.col("id").alias("l1"), F.col("label").alias("l2"))
-    joined = scratch.keep(
-        members.select("id", "rep")
-        .join(c, "rep", "left")
-        .withColumn("l1", F.coalesce("l1", "rep"))
-        .join(f, "l1", "left")
-        .select("id", F.coalesce("l2", "l1").alias("cluster_id"))
-    )
+    found, between = parted(sure_links(lists, nodes, threshold + 1e-6, LIST_BOUND), scratch, resolution)
+    labels = found.select(F.col("id").alias("rep"), "label")
+    labelled = members.select("id", "rep", "half").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    if not between.isEmpty():
+        labelled = _relabelled(labelled, between, scratch)
+    balled = scratch.keep(balls(labelled, threshold))
+    near = scratch.keep(near_balls(balled))
+    result = _with_heads(balled, threshold)
+    if not near.isEmpty():
+        late = scratch.keep(ball_links(near, balled, given_vectors(rows, key, vector), _raw_kind(rows, vector), threshold, scratch))
+        if not late.isEmpty():
+            result = _relabelled(result, late, scratch).withColumn("alike", F.col("alike") & (F.col("label") == F.col("was")))
+    joined = scratch.keep(result.select("id", F.col("label").alias("cluster_id"), "alike"))
     # Labels are least ids already: leaders, communities and joins all keep the least.
-    for done in (members, lists, rest, links, found, checked):
+    for done in (members, lists, found, between, balled, near):
         scratch.drop(done)
     return joined
 
 
+def least_alike(clustered: DataFrame, rows: DataFrame, key: str = "faiss_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """(cluster_id, id) of the rows in groups of at least two; ``cluster_id`` is the least id that the row itself is alike with.
+
+    It is the group's least id wherever all of a group are alike. Rows that
+    aren't surely alike with that one are measured with the others of their group.
+    """
+    kind = _raw_kind(rows, vector)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, others = None, [], None
+        for batch in batches:
+            group, salt, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            cuts = (np.flatnonzero((group[1:] != group[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+                if lo == hi:
+                    continue
+                if cell != (group[lo], salt[lo]):
+                    cell, held, others = (group[lo], salt[lo]), [], None
+                now = (ids[lo:hi], _matrix(batch.column(4).slice(lo, hi - lo), kind))
+                if side[lo] == 0:
+                    held.append(now)
+                    continue
+                if others is None:
+                    others = tuple(np.concatenate(c) for c in zip(*held))
+                    unit = _unit(others[1])
+                asked, label = _unit(now[1]), now[0].copy()
+                for r in range(0, len(label), 256):
+                    for c in range(0, len(unit), 4096):
+                        open_ = np.flatnonzero(label[r : r + 256] > others[0][c]) + r
+                        if not len(open_):
+                            break
+                        sims = asked[open_] @ unit[c : c + 4096].T
+                        alike = sims >= threshold + 1e-9
+                        i, j = np.nonzero(~alike & (sims >= threshold - 1e-9))
+                        alike[i, j] = _cosines(now[1][open_[i]], others[1][c + j]) >= threshold
+                        some = alike.any(axis=1)
+                        label[open_[some]] = np.minimum(label[open_[some]], others[0][c + alike[some].argmax(axis=1)])
+                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(now[0])], names=["cluster_id", "id"])
+
+    members = _of_groups(clustered)
+    alike = members.where("alike").select("cluster_id", "id")
+    asking = clustered.where("NOT alike").select("cluster_id", "id")
+    if asking.isEmpty():
+        return alike
+    own = clustered.join(asking.select("cluster_id").distinct(), "cluster_id", "left_semi").join(given_vectors(rows, key, vector), "id")
+    held = own.select("cluster_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("side"), "id", "raw")
+    passing = own.where("NOT alike").select("cluster_id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("side"), "id", "raw")
+    ordered = held.unionByName(passing).repartition("cluster_id", "salt").sortWithinPartitions("cluster_id", "salt", "side", "id")
+    return alike.unionByName(ordered.mapInArrow(least, "cluster_id bigint, id bigint"))
+
+
+def _of_groups(clustered: DataFrame) -> DataFrame:
+    sizes = clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("cluster_id")
+    return clustered.join(sizes, "cluster_id")
+
+
 def grouped(clustered: DataFrame) -> DataFrame:
     """(cluster_id, id) of the rows in groups of at least two."""
-    sizes = clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("cluster_id")
-    return clustered.join(sizes, "cluster_id").select("cluster_id", "id")
+    return _of_groups(clustered).select("cluster_id", "id")
 
 
 def with_degrees(clustered: DataFrame, rows: DataFrame, key: str = "faiss_id", vector: str = "embedding") -> DataFrame:

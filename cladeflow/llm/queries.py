@@ -18,8 +18,8 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = clusters.grouped(clusters.cluster(table(spark, sf_dir, "embedding_bundle")))
-    return grouped.withColumnRenamed("id", "faiss_id")
+    rows = table(spark, sf_dir, "embedding_bundle")
+    return clusters.least_alike(clusters.cluster(rows), rows).withColumnRenamed("id", "faiss_id")
 
 
 def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

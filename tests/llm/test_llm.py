@@ -315,6 +315,35 @@ def test_large_buckets_are_compared_whole(spark):
     assert linked_pairs(spark, 1500, 0, 1, 400) >= {(i, i + 1500) for i in range(1500)}
 
 
+@pytest.mark.parametrize("block", [8192, 7])
+def test_no_link_between_members_is_left_out(spark, block):
+    # Chains, whose ends aren't alike and whose leaders needn't be, pairs at the threshold, and lone vectors.
+    rng = np.random.default_rng(6)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    step = np.arccos(clusters.THRESHOLD)
+    turned = lambda k, angle: np.cos(angle) * axes[2 * k] + np.sin(angle) * axes[2 * k + 1]
+    x = [turned(0, s * 0.9 * step) for s in range(3)]
+    x += [turned(1, a) for a in rng.uniform(0, 2.5, 40)]
+    x += [turned(2, a) + 0.1 * rng.standard_normal(64) / 8 for a in rng.uniform(0, 1, 60)]
+    x += [turned(k, a) for k, near in enumerate((1e-6, -1e-6, 1e-4, -1e-4, 1e-3, -1e-3), 5) for a in (0, step - near)]
+    x += [*rng.standard_normal((20, 64))]
+    x = np.array(x, np.float32) * rng.uniform(0.1, 9, (len(x), 1)).astype(np.float32)
+    ids = rng.permutation(len(x)) * 3 + 1
+    ids[:3] = [-1, -2, -3]
+    frame = spark.createDataFrame([(int(i), [float(n) for n in v]) for i, v in zip(ids, x)], "faiss_id bigint, embedding array<float>").repartition(3)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    alike = unit @ unit.T >= clusters.THRESHOLD
+    np.fill_diagonal(alike, True)
+    group = ids.copy()
+    for _ in range(len(ids)):
+        group = np.array([group[row].min() for row in alike])
+    found = clusters.cluster(frame, block=block)
+    assert {r.id: r.cluster_id for r in found.collect()} == dict(zip(ids.tolist(), group.tolist()))
+    least = {int(i): int(ids[row].min()) for i, row in zip(ids, alike) if row.sum() > 1}
+    assert {r.id: r.cluster_id for r in clusters.least_alike(found, frame).collect()} == least
+    assert any(least[int(i)] != g for i, g in zip(ids, group) if int(i) in least)
+
+
 @pytest.mark.parametrize("block", [8192, 7])
 def test_typical_members_of_whole_groups(spark, block):
     rows, truth = vectors(8, [60, 9, 2, 1])
