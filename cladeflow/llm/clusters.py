@@ -1,15 +1,17 @@
 """Groups of mutually similar vectors: a neighbour graph by descent, communities by modularity, then an exact check.
 
 Rows alike within a block of arrivals contract to a super-node first, which is
-a map-side combine: a huge group leaves one row per block. Neighbour lists start
+a map-side combine: a huge group leaves one row per block. Super-nodes contract
+again in cells around drawn ones, where those of a group meet. Neighbour lists start
 from a few random-projection bucketings and descend: neighbours of a node are
 compared with each other until lists hardly change. Links of the lists that
 reach the threshold form the graph whose communities are merged as long as
 modularity gains. All that only gathers what is surely linked. The exact check
 finds every other link, between any two rows: each community's rows lie in balls
-of known reach, each row is compared with every ball's centre, and only where
-the reach allows a link the ball's rows are measured. Communities with a link
-are joined, so no pair that reaches the threshold is apart.
+of known reach, balls are compared with balls by their centres, rows with the
+centres that their own ball's reach leaves open, and only where the reach allows
+a link the ball's rows are measured. Communities with a link are joined, so no
+pair that reaches the threshold is apart.
 Vectors travel as 16-bit floats (in lists as 8-bit numbers); what is near the
 threshold is measured with the vectors as they are given.
 """
@@ -17,7 +19,7 @@ threshold is measured with the vectors as they are given.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ DIMENSIONS = 64
 THRESHOLD = 0.86
 BLOCK = 4096
 BUCKET = 1024
+PIVOTS = 256
+CELL_PASSES = 2
 START_TABLES = 3
 NEIGHBOURS = 5
 CHANGED = 0.05
@@ -49,18 +53,33 @@ SEED = 20240
 
 def _matrix(column: pa.Array, kind=np.float16) -> np.ndarray:
     """Fixed-length binary cells as rows of a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, DIMENSIONS)
+    if column.null_count or not len(column) or not pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, DIMENSIONS)
+    _, offsets, data = column.buffers()
+    start = np.frombuffer(offsets, np.int32)[column.offset]
+    return np.frombuffer(data, kind, len(column) * DIMENSIONS, int(start)).reshape(-1, DIMENSIONS)
+
+
+def _cells(matrix: np.ndarray, filled: np.ndarray | None = None) -> pa.Array:
+    """Rows of a matrix as binary cells; null where not ``filled``."""
+    if filled is not None:
+        return pa.array([r.tobytes() if f else None for r, f in zip(matrix, filled)], pa.binary())
+    matrix = np.ascontiguousarray(matrix)
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(matrix.shape[1] * matrix.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix)])
 
 
 def _leaders(unit: np.ndarray, threshold: float) -> np.ndarray:
     """Each row's leader: the first row not led yet leads all those alike that aren't either."""
     leader = np.full(len(unit), -1)
     for lo in range(0, len(unit), 256):
-        rows = np.flatnonzero(leader[lo : lo + 256] < 0) + lo
-        tile = unit[rows] @ unit.T >= threshold
+        still = np.flatnonzero(leader[lo:] < 0) + lo
+        rows = still[: np.searchsorted(still, lo + 256)]
+        tile = unit[rows] @ unit[still].T >= threshold
         for row, alike in zip(rows, tile):
             if leader[row] < 0:
-                leader[alike & (leader < 0)] = row
+                led = still[alike]
+                leader[led[leader[led] < 0]] = row
                 leader[row] = row
     return leader
 
@@ -100,7 +119,7 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def contract_blocks(rows: DataFrame, key: str, vector: str, threshold: float, block: int) -> DataFrame:
-    """(id, rep, vec, full, half): usable rows with their super-node and vector; only super-nodes have ``vec`` and ``full``. A block costs the same whatever the table's size."""
+    """(id, rep, vec, leads): usable rows with their super-node, vector, and whether they are one. A block costs the same whatever the table's size."""
 
     def solve(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
@@ -108,11 +127,7 @@ def contract_blocks(rows: DataFrame, key: str, vector: str, threshold: float, bl
         unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
         rep = _leaders(unit, threshold)
         own = rep == np.arange(len(ids))
-        cells = lambda m: pa.array([r.tobytes() if o else None for r, o in zip(m, own)], pa.binary())
-        half = pa.array([r.tobytes() for r in unit.astype(np.float16)], pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(ids[rep]), cells(unit.astype(np.float16)), cells(unit), half], names=["id", "rep", "vec", "full", "half"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[rep]), _cells(unit.astype(np.float16)), pa.array(own)], names=["id", "rep", "vec", "leads"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, held = [], [], 0
@@ -127,7 +142,61 @@ def contract_blocks(rows: DataFrame, key: str, vector: str, threshold: float, bl
         if held:
             yield solve(np.concatenate(ids), np.concatenate(parts))
 
-    return rows.select(F.col(key).cast("bigint").alias("id"), vector).mapInArrow(run, "id bigint, rep bigint, vec binary, full binary, half binary")
+    return rows.select(F.col(key).cast("bigint").alias("id"), vector).mapInArrow(run, "id bigint, rep bigint, vec binary, leads boolean")
+
+
+def contract_cells(nodes: DataFrame, threshold: float, seed: int, block: int = BLOCK, cell: int = BUCKET) -> DataFrame:
+    """(id, rep, vec): nodes of (id, vec) with the node that leads them, from 16-bit vectors; only leaders keep ``vec``.
+
+    A node goes to the cell of the pivot that it is most alike with, one of about
+    n / ``cell`` drawn nodes (with more than PIVOTS, of several draws at once), so
+    nodes of a group mostly meet, wherever they arrived. A cell is led in stretches
+    of ``block`` nodes. Nodes that don't meet are left to the lists and the check.
+    """
+    n = nodes.count()
+    wanted = max(1.0, n / cell)
+    draws = max(1, math.ceil(math.log(wanted, PIVOTS)))
+    each = math.ceil(wanted ** (1 / draws))
+    # A share of about four times what is drawn goes to the driver, not every task's best.
+    drawing = nodes.withColumn("_h", F.xxhash64(F.lit(seed), "id")).where(F.pmod("_h", F.lit(max(1, n // (4 * draws * each)))) == 0)
+    drawn = drawing.orderBy("_h", "id").limit(draws * each).collect() if each > 1 else []
+    pivots = np.array([np.frombuffer(r.vec, np.float16) for r in drawn], np.float32).reshape(-1, DIMENSIONS)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = np.zeros(batch.num_rows, np.int64)
+            if len(pivots) and len(code):
+                x = _matrix(batch.column(1)).astype(np.float32)
+                for d in range(0, len(pivots), each):
+                    code = code * each + (x @ pivots[d : d + each].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], names=["cell", "id", "vec"])
+
+    def led(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = np.concatenate([p.column(1).to_numpy() for p in parts])
+        half = np.concatenate([_matrix(p.column(2)) for p in parts])
+        order = np.argsort(ids, kind="stable")
+        ids, half = ids[order], half[order]
+        rep = _leaders(_unit(half).astype(np.float32), threshold)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[rep]), _cells(half, rep == np.arange(len(ids)))], names=["id", "rep", "vec"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, at = [], 0, None
+        for batch in batches:
+            code = batch.column(0).to_numpy()
+            cuts = (np.flatnonzero(code[1:] != code[:-1]) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(code)]):
+                while lo < hi:
+                    if held and (at != code[lo] or size == block):
+                        yield led(held)
+                        held, size = [], 0
+                    take = min(hi - lo, block - size)
+                    at, size, lo = code[lo], size + take, lo + take
+                    held.append(batch.slice(lo - take, take))
+        if held:
+            yield led(held)
+
+    sent = nodes.select("id", "vec").mapInArrow(spread, "cell bigint, id bigint, vec binary")
+    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "id bigint, rep bigint, vec binary")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +428,7 @@ def neighbour_descent(nodes: DataFrame, scratch: Scratch, threshold: float = THR
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = np.rint(_matrix(batch.column(1)).astype(np.float32) * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _cells(code)], names=["id", "code"])
 
     codes = nodes.select("id", "vec").mapInArrow(coded, "id bigint, code binary")
 
@@ -398,7 +467,7 @@ def neighbour_descent(nodes: DataFrame, scratch: Scratch, threshold: float = THR
 
 
 def sure_links(links: DataFrame, nodes: DataFrame, threshold: float, margin: float = MARGIN) -> DataFrame:
-    """Links of at least ``threshold``, each once with a < b; those within ``margin`` are measured with the full vectors."""
+    """Links of at least ``threshold``, each once with a < b; those within ``margin`` are measured with the nodes' vectors."""
     pairs = (
         links.where(F.col("sim") >= threshold - margin)
         .groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
@@ -412,15 +481,14 @@ def sure_links(links: DataFrame, nodes: DataFrame, threshold: float, margin: flo
 
     @F.pandas_udf("double")
     def exact(x, y):
-        p, q = (np.frombuffer(b"".join(c), np.float32).reshape(-1, DIMENSIONS).astype(np.float64) for c in (x, y))
+        p, q = (np.frombuffer(b"".join(c), np.float16).reshape(-1, DIMENSIONS).astype(np.float64) for c in (x, y))
         import pandas as pd
 
         return pd.Series((p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1)))
 
-    full = nodes.select("id", "full")
     measured = (
-        unsure.join(full.select(F.col("id").alias("a"), F.col("full").alias("x")), "a")
-        .join(full.select(F.col("id").alias("b"), F.col("full").alias("y")), "b")
+        unsure.join(nodes.select(F.col("id").alias("a"), F.col("vec").alias("x")), "a")
+        .join(nodes.select(F.col("id").alias("b"), F.col("vec").alias("y")), "b")
         .select("a", "b", exact("x", "y").alias("w"))
         .where(F.col("w") >= threshold)
     )
@@ -548,74 +616,107 @@ def balls(labelled: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "ball bigint, label bigint, id bigint, half binary, alike boolean, center binary, least double")
 
 
-def near_balls(balled: DataFrame, most: int = 65_536) -> DataFrame:
+def near_balls(balled: DataFrame, most: int = 262_144) -> DataFrame:
     """(id, label, ball, code): each row, with its vector in 8-bit numbers, and every ball of a greater label that may hold a row alike to it.
 
-    Rows are spread over blocks and balls over parts of about ``most``; each block
-    meets each part in a task that holds the part and lets the block pass.
+    Balls' rows are spread over blocks and centres over parts of about ``most``; each
+    block meets each part in a task that holds the part and lets the block pass.
+    What passes of a ball is a ball itself: its centre is compared first, its rows
+    only with the centres that are as near as its reach and the other's allow.
     """
     n, m = balled.agg(F.count(F.lit(1)), F.count("center")).first()
     parts = max(1, -(-m // most))
-    tasks = max(balled.sparkSession.sparkContext.defaultParallelism, n * m // 10_000_000_000)
+    # Each block gets a copy of the centres: copies take at most half the rows' room, more only for the work.
+    tasks = max(min(balled.sparkSession.sparkContext.defaultParallelism, n // max(1, 2 * m)), m * m // 10_000_000_000)
     blocks = max(1, -(-tasks // parts))
     of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     held = balled.where("center IS NOT NULL").select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), of("ball", parts).alias("part"), F.lit(0).alias("side"), "label", F.col("ball").alias("id"), F.col("center").alias("vec"), "least"
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), of("ball", parts).alias("part"), F.lit(0).alias("side"), "label", "ball", F.col("ball").alias("id"), F.col("center").alias("vec"), "least"
     )
     passing = balled.select(
-        of("id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), "label", "id", F.col("half").alias("vec"), F.lit(None).cast("double").alias("least")
+        of("ball", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), "label", "ball", "id", F.col("half").alias("vec"), F.lit(None).cast("double").alias("least")
     )
 
+    def with_reach(center: np.ndarray, reach: np.ndarray, sign: int) -> np.ndarray:
+        """Columns that take cos(r + s) off the product of centres with reaches r and s, as cos r cos s - sin r sin s."""
+        return np.column_stack([center, sign * np.cos(reach), np.sin(reach)]).astype(np.float32)
+
+    def near_pairs(unit: np.ndarray, starts: np.ndarray, cosines: np.ndarray, limit: np.ndarray, extended: np.ndarray, furthest: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, centre) with a cosine of at least the centre's limit; rows of a ball begin at each of ``starts``."""
+        size = np.diff(np.append(starts, len(unit)))
+        middle = np.add.reduceat(unit, starts)
+        norm = np.linalg.norm(middle, axis=1, keepdims=True)
+        middle = np.where(norm > 1e-6, middle / np.maximum(norm, 1e-6), unit[starts])
+        reach = np.arccos(np.clip(np.minimum.reduceat(np.einsum("ij,ij->i", unit, np.repeat(middle, size, axis=0)), starts), -1, 1))
+        rows, own = unit.astype(np.float32), with_reach(middle, reach, -1)
+        whole = reach.max() + furthest >= math.pi
+        for c in range(0, len(limit), 2048):
+            other = cosines[c : c + 2048]
+            if not whole:
+                g, j = np.nonzero(own @ extended[c : c + 2048].T >= -1e-5)
+                if not len(g):
+                    continue
+                k = size[g]
+                if k.sum() * 16 <= len(rows) * len(other):
+                    j, i = np.repeat(j, k), np.repeat(starts[g] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                    near = np.einsum("ij,ij->i", rows[i], other[j]) >= limit[c + j]
+                    yield i[near], j[near] + c
+                    continue
+            i, j = np.nonzero(rows @ other.T >= limit[c : c + 2048])
+            yield i, j + c
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, collected, centers = None, [], None
         for batch in batches:
-            block, part, side, label, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            block, part, side, label, ball, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
             cuts = (np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1).tolist()
             for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
                 if lo == hi:
                     continue
                 if cell != (block[lo], part[lo]):
                     cell, collected, centers = (block[lo], part[lo]), [], None
-                unit = _unit(_matrix(batch.column(5).slice(lo, hi - lo))).astype(np.float32)
+                unit = _unit(_matrix(batch.column(6).slice(lo, hi - lo)))
                 if side[lo] == 0:
-                    collected.append((label[lo:hi], ids[lo:hi], unit, batch.column(6).slice(lo, hi - lo).to_numpy(zero_copy_only=False)))
+                    collected.append((label[lo:hi], ids[lo:hi], unit.astype(np.float32), batch.column(7).slice(lo, hi - lo).to_numpy(zero_copy_only=False)))
                     continue
                 if not collected:
                     continue
                 if centers is None:
-                    centers = tuple(np.concatenate(c) for c in zip(*collected))
+                    centers, collected = tuple(np.concatenate(c) for c in zip(*collected)), [True]
                     limit = (centers[3] - 1e-5).astype(np.float32)
-                for r in range(lo, hi, 512):
-                    rows = unit[r - lo : r - lo + 512]
-                    for c in range(int(np.searchsorted(centers[0], label[r], "right")), len(limit), 2048):
-                        near = np.flatnonzero(rows @ centers[2][c : c + 2048].T >= limit[c : c + 2048])
-                        if not len(near):
-                            continue
-                        i, j = np.divmod(near, min(2048, len(limit) - c))
-                        i, j = i + r, j + c
+                    reach = np.arccos(np.clip(centers[3], -1, 1))
+                    extended = with_reach(centers[2], reach, 1)
+                for r in range(lo, hi, 1024):
+                    end = min(hi, r + 1024)
+                    after = int(np.searchsorted(centers[0], label[r], "right"))
+                    if after == len(limit):
+                        continue
+                    starts = np.concatenate([[0], np.flatnonzero(ball[r + 1 : end] != ball[r : end - 1]) + 1])
+                    for i, j in near_pairs(unit[r - lo : end - lo], starts, centers[2][after:], limit[after:], extended[after:], float(reach[after:].max())):
+                        i, j = i + r, j + after
                         ahead = centers[0][j] > label[i]
                         if ahead.any():
                             i, j = i[ahead], j[ahead]
-                            code = pa.array([c.tobytes() for c in np.rint(unit[i - lo] * 127).astype(np.int8)], pa.binary())
+                            code = _cells(np.rint(unit[i - lo] * 127).astype(np.int8))
                             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(label[i]), pa.array(centers[1][j]), code], names=["id", "label", "ball", "code"])
 
-    spread = held.unionByName(passing).repartition(4 * blocks * parts, "block", "part").sortWithinPartitions("block", "part", "side", "label")
+    spread = held.unionByName(passing).repartition(4 * blocks * parts, "block", "part").sortWithinPartitions("block", "part", "side", "label", "ball")
     return spread.mapInArrow(run, "id bigint, label bigint, ball bigint, code binary")
 
 
-def given_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, raw) of the usable rows: the vectors without loss."""
-    kind = _raw_kind(rows, vector)
+def given_vectors(rows: DataFrame, key: str, vector: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, raw) of the usable rows with an id of ``wanted``: the vectors without loss. Ids are written first: of few, the planner then knows it and moves no row for the join."""
+    kind, ids = _raw_kind(rows, vector), scratch.keep(wanted.select("id").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _usable(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], names=["id", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _cells(x.astype(kind))], names=["id", "raw"])
 
-    return rows.select(F.col(key).cast("bigint").alias("id"), vector).mapInArrow(run, "id bigint, raw binary")
+    return rows.select(F.col(key).cast("bigint").alias("id"), vector).join(ids, "id", "left_semi").mapInArrow(run, "id bigint, raw binary")
 
 
-def ball_links(near: DataFrame, balled: DataFrame, given: DataFrame, kind: type, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b, w): pairs of labels of which a row and a row of a ball near it are alike. What isn't clear by the rounded vectors is measured with the ``given`` vectors."""
+def ball_links(near: DataFrame, balled: DataFrame, given: Callable[[DataFrame], DataFrame], kind: type, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b, w): pairs of labels of which a row and a row of a ball near it are alike. What isn't clear by the rounded vectors is measured with the ``given`` vectors of those ids."""
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -639,7 +740,8 @@ def ball_links(near: DataFrame, balled: DataFrame, given: DataFrame, kind: type,
     unsure = alike.where(F.col("sim") < threshold + CODE_BOUND).join(sure, ["a", "b"], "left_anti")
     if unsure.isEmpty():
         return sure.withColumn("w", F.lit(1.0))
-    full = unsure.join(given, "id").join(given.select(F.col("id").alias("other"), F.col("raw").alias("other_raw")), "other").select("a", "b", "raw", "other_raw")
+    raw = given(unsure.select("id").unionByName(unsure.select(F.col("other").alias("id"))))
+    full = unsure.join(raw, "id").join(raw.select(F.col("id").alias("other"), F.col("raw").alias("other_raw")), "other").select("a", "b", "raw", "other_raw")
     return sure.unionByName(full.mapInArrow(exact, "a bigint, b bigint").distinct()).withColumn("w", F.lit(1.0))
 
 
@@ -678,23 +780,33 @@ def cluster(
     scratch = Scratch(rows.sparkSession, "clusters")
     # What is doubtful isn't gathered here; the check measures it.
     members = scratch.keep(contract_blocks(rows, key, vector, threshold + MARGIN, block))
-    nodes = members.where("vec IS NOT NULL").select("id", "vec", "full")
+    nodes, passes = members.where("leads").select("id", "vec"), []
+    for seed in range(CELL_PASSES):
+        passes.append(scratch.keep(contract_cells(nodes, threshold + MARGIN, seed, max(BUCKET, block))))
+        nodes = passes[-1].where("vec IS NOT NULL").select("id", "vec")
     lists = scratch.keep(neighbour_descent(nodes, scratch, threshold))
-    found, between = parted(sure_links(lists, nodes, threshold + 1e-6, LIST_BOUND), scratch, resolution)
-    labels = found.select(F.col("id").alias("rep"), "label")
-    labelled = members.select("id", "rep", "half").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    found, between = parted(sure_links(lists, nodes, threshold + MARGIN, LIST_BOUND), scratch, resolution)
+    labels = found
+    for led in reversed(passes):
+        named = led.select("id", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
+        labels = named.select("id", F.coalesce("label", "rep").alias("label"))
     if not between.isEmpty():
-        labelled = _relabelled(labelled, between, scratch)
+        labels = _relabelled(labels, between, scratch).select("id", "label")
+    labels = labels.groupBy(F.col("id").alias("rep")).agg(F.min("label").alias("label"))
+    labelled = members.select("id", "rep", F.col("vec").alias("half")).join(labels, "rep")
     balled = scratch.keep(balls(labelled, threshold))
+    for done in (members, lists, found, between, *passes):
+        scratch.drop(done)
     near = scratch.keep(near_balls(balled))
     result = _with_heads(balled, threshold)
     if not near.isEmpty():
-        late = scratch.keep(ball_links(near, balled, given_vectors(rows, key, vector), _raw_kind(rows, vector), threshold, scratch))
+        given = lambda ids: given_vectors(rows, key, vector, ids, scratch)
+        late = scratch.keep(ball_links(near, balled, given, _raw_kind(rows, vector), threshold, scratch))
         if not late.isEmpty():
             result = _relabelled(result, late, scratch).withColumn("alike", F.col("alike") & (F.col("label") == F.col("was")))
     joined = scratch.keep(result.select("id", F.col("label").alias("cluster_id"), "alike"))
     # Labels are least ids already: leaders, communities and joins all keep the least.
-    for done in (members, lists, found, between, balled, near):
+    for done in (balled, near):
         scratch.drop(done)
     return joined
 
@@ -703,10 +815,17 @@ def least_alike(clustered: DataFrame, rows: DataFrame, key: str = "faiss_id", ve
     """(cluster_id, id) of the rows in groups of at least two; ``cluster_id`` is the least id that the row itself is alike with.
 
     It is the group's least id wherever all of a group are alike. Rows that
-    aren't surely alike with that one are measured with the others of their group.
+    aren't surely alike with that one are measured with it, and those that aren't
+    alike with it are measured with the others of their group.
     """
     kind = _raw_kind(rows, vector)
 
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                alike = _cosines(_matrix(batch.column(2), kind), _matrix(batch.column(3), kind)) >= threshold
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], names=["cluster_id", "id", "alike"])
+
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, others = None, [], None
         for batch in batches:
@@ -743,9 +862,21 @@ def least_alike(clustered: DataFrame, rows: DataFrame, key: str = "faiss_id", ve
     asking = clustered.where("NOT alike").select("cluster_id", "id")
     if asking.isEmpty():
         return alike
-    own = clustered.join(asking.select("cluster_id").distinct(), "cluster_id", "left_semi").join(given_vectors(rows, key, vector), "id")
-    held = own.select("cluster_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("side"), "id", "raw")
-    passing = own.where("NOT alike").select("cluster_id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("side"), "id", "raw")
+    scratch = Scratch(rows.sparkSession, "least")
+    raw = given_vectors(rows, key, vector, asking.select("id").unionByName(asking.select(F.col("cluster_id").alias("id"))), scratch)
+    pairs = asking.join(raw, "id").join(raw.select(F.col("id").alias("cluster_id"), F.col("raw").alias("head")), "cluster_id").select("cluster_id", "id", "raw", "head")
+    seen = scratch.keep(pairs.mapInArrow(headed, "cluster_id bigint, id bigint, alike boolean"))
+    alike = alike.unionByName(seen.where("alike").select("cluster_id", "id"))
+    still = seen.where("NOT alike")
+    if still.isEmpty():
+        return alike
+    # One copy of a group per thousand rows that ask.
+    copies = still.groupBy("cluster_id").agg(F.least(F.lit(SALTS), F.ceil(F.count(F.lit(1)) / 1024)).cast("int").alias("copies"))
+    whole = clustered.select("cluster_id", "id").join(copies, "cluster_id")
+    own = whole.join(given_vectors(rows, key, vector, whole, scratch), "id")
+    held = own.select("cluster_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("side"), "id", "raw")
+    asks = own.join(still.select("id"), "id", "left_semi")
+    passing = asks.select("cluster_id", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("side"), "id", "raw")
     ordered = held.unionByName(passing).repartition("cluster_id", "salt").sortWithinPartitions("cluster_id", "salt", "side", "id")
     return alike.unionByName(ordered.mapInArrow(least, "cluster_id bigint, id bigint"))
 

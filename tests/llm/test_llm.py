@@ -344,6 +344,53 @@ def test_no_link_between_members_is_left_out(spark, block):
     assert any(least[int(i)] != g for i, g in zip(ids, group) if int(i) in least)
 
 
+def test_groups_spread_over_blocks_reach_the_lists_as_few_nodes(spark, monkeypatch):
+    # A block holds about one row of each group, so blocks hardly contract; lists over all rows cost the disk and the time.
+    rows, truth = vectors(12, [30] * 40)
+    frame = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "faiss_id bigint, embedding array<float>")
+    sizes, descent = [], clusters.neighbour_descent
+    monkeypatch.setattr(clusters, "neighbour_descent", lambda nodes, *a, **k: (sizes.append(nodes.count()), descent(nodes, *a, **k))[1])
+    assert {r.id: r.cluster_id for r in clusters.cluster(frame, block=40).collect()} == truth
+    assert sizes[0] <= 1.2 * 40
+
+
+def test_cells_lead_only_alike_nodes(spark):
+    rows, truth = vectors(13, [20] * 40 + [1] * 10)
+    frame = spark.createDataFrame(rows, "faiss_id bigint, embedding array<float>").repartition(3)
+    nodes = clusters.contract_blocks(frame, "faiss_id", "embedding", clusters.THRESHOLD, 1).select("id", "vec")
+    led = clusters.contract_cells(nodes, 0.862, 0, 64, 32).collect()
+    assert sorted(r.id for r in led) == sorted(truth)
+    unit = {i: np.array(e) / np.linalg.norm(e) for i, e in rows}
+    assert all(r.rep <= r.id and unit[r.id] @ unit[r.rep] >= clusters.THRESHOLD for r in led)
+    assert all((r.vec is not None) == (r.rep == r.id) for r in led)
+    assert len({r.rep for r in led}) <= 2 * 50
+
+
+@pytest.mark.parametrize("most", [262_144, 40])
+def test_near_balls_leaves_out_no_ball_within_reach(spark, most):
+    # Arcs of rows near to each other's ends, wide and narrow labels, copies, and lone rows.
+    rng = np.random.default_rng(14)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    cells, i = [], 0
+    for g in range(60):
+        middle, width = rng.uniform(0, 6), rng.choice([0, 0.05, 0.3, 0.5])
+        for _ in range(int(rng.integers(1, 12))):
+            t = middle + rng.uniform(-width, width)
+            v = np.cos(t) * axes[g % 5] + np.sin(t) * axes[g % 5 + 5] + 0.3 * np.cos(g) * axes[20 + g % 3]
+            cells.append((g * 100, g * 100 + i % 3, g * 100 + i % 100, (v / np.linalg.norm(v)).astype(np.float16).tobytes()))
+            i += 1
+    cells = list({c[2]: c for c in cells}.values())
+    balled = clusters.balls(spark.createDataFrame(cells, "label bigint, rep bigint, id bigint, half binary"), clusters.THRESHOLD).cache()
+    held = balled.collect()
+    unit = lambda cell: (lambda x: x / np.linalg.norm(x))(np.frombuffer(cell, np.float16).astype(np.float64))
+    centers = [(r.label, r.ball, unit(r.center), r.least) for r in held if r.center is not None]
+    wanted = {(r.id, ball) for r in held for label, ball, c, least in centers if label > r.label and unit(r.half) @ c >= least}
+    got = {(r.id, r.ball) for r in clusters.near_balls(balled, most).collect()}
+    balled.unpersist()
+    assert len(wanted) > 300 and got >= wanted
+    assert all(unit_of @ c >= least - 1e-4 for (i, b) in got - wanted for unit_of in [unit(next(r.half for r in held if r.id == i))] for _, ball, c, least in centers if ball == b)
+
+
 @pytest.mark.parametrize("block", [8192, 7])
 def test_typical_members_of_whole_groups(spark, block):
     rows, truth = vectors(8, [60, 9, 2, 1])
