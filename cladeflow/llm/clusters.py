@@ -653,7 +653,7 @@ def near_balls(balled: DataFrame, most: int = 262_144) -> DataFrame:
         for c in range(0, len(limit), 2048):
             other = cosines[c : c + 2048]
             if not whole:
-                g, j = np.nonzero(own @ extended[c : c + 2048].T >= -1e-5)
+                g, j = np.divmod(np.flatnonzero(own @ extended[c : c + 2048].T >= -1e-5), len(other))
                 if not len(g):
                     continue
                 k = size[g]
@@ -662,7 +662,7 @@ def near_balls(balled: DataFrame, most: int = 262_144) -> DataFrame:
                     near = np.einsum("ij,ij->i", rows[i], other[j]) >= limit[c + j]
                     yield i[near], j[near] + c
                     continue
-            i, j = np.nonzero(rows @ other.T >= limit[c : c + 2048])
+            i, j = np.divmod(np.flatnonzero(rows @ other.T >= limit[c : c + 2048]), len(other))
             yield i, j + c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
